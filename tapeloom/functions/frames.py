@@ -50,4 +50,5 @@ def ratio(top: Column, bottom: Column) -> Column:
 
 
 def fixed(col: Column, digits: int = 6) -> Column:
-    return F.round(col.cast("double"), digits)
+    """Rounded for output; adding zero turns −0.0 into 0.0."""
+    return F.round(col.cast("double"), digits) + F.lit(0.0)

@@ -25,7 +25,7 @@ def norm(v):
     if isinstance(v, bool):
         return v
     if isinstance(v, (int, float)):
-        return float(f"{float(v):.9g}")
+        return float(f"{float(v):.9g}") + 0.0
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None)
     if isinstance(v, (list, tuple)):
@@ -51,7 +51,7 @@ def main() -> int:
     queries, oracle = load_all()
     pats = args.names or ["*"]
     names = [q for q in queries if any(fnmatch.fnmatch(q, p) for p in pats)]
-    spark = build_session("compare", "local[8]", 8, **{"spark.driver.memory": "12g", "spark.ui.enabled": "false",
+    spark = build_session("compare", "local[8]", 8, **{"spark.driver.memory": "12g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                                        "spark.sql.execution.arrow.pyspark.enabled": "true"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()

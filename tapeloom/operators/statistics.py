@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from tapeloom.functions.frames import lookback, ratio
 from tapeloom.functions.indicators import drawdown_curve
 from tapeloom.operators import xsection as xs
+from tapeloom.operators.calendars import align_calendar, mark_ffill
 from tapeloom.plans import ordered
 from tapeloom.session import settle
 
@@ -305,11 +306,15 @@ def yearly_returns(curves: DataFrame) -> DataFrame:
 
 
 def breadth(bars: DataFrame, length: int = 50) -> DataFrame:
-    """Share of names closing above the mean of their own last ``length`` bars, per date."""
+    """Share of names above the mean of their own last ``length`` bars as of each session.
+
+    A name that did not print counts with its latest bar.
+    """
     w = Window.partitionBy("symbol").orderBy("session_no").rowsBetween(-(length - 1), 0)
-    rows = bars.withColumn("_ma", F.when(F.count("close").over(w) >= length, F.avg("close").over(w)))
-    return rows.filter(F.col("_ma").isNotNull()).groupBy("date").agg(
-        F.avg((F.col("close") > F.col("_ma")).cast("double")).alias("breadth"), F.count(F.lit(1)).alias("names"))
+    above = F.when(F.count("close").over(w) >= length, (F.col("close") > F.avg("close").over(w)).cast("double"))
+    asof = mark_ffill(align_calendar(bars.withColumn("_above", above), ["_above"]), "_above", "_asof")
+    return asof.filter(F.col("_asof").isNotNull()).groupBy("date", "session_no").agg(
+        F.avg("_asof").alias("breadth"), F.count("_asof").alias("names"))
 
 
 def cross_section_per_day(bars: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from tapeloom.functions import indicators as ind
 from tapeloom.functions.frames import finite, lookback, median_of, ratio, rolling
 from tapeloom.plans import ordered
+from tapeloom.session import settle
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,8 @@ def rank_top_n(scored: DataFrame, n: int) -> DataFrame:
 def winsorised_z(df: DataFrame, group: Sequence[str], key: str, cols: Sequence[str], limit: float = 3.0) -> DataFrame:
     """(group, key, z_<col>…): median/MAD scores clipped at ±limit; population z when the MAD is zero; null → 0.
 
-    All columns go through one long form, so any number of factors costs two exact-median passes.
+    All columns go through one long form, so any number of factors costs two exact-median passes. ``df`` is read
+    several times: settle it first when it is expensive.
     """
     entries = F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).cast("double").alias("x")) for c in cols])
     long = df.select(*group, key, F.explode(entries).alias("e")).select(*group, key, "e.factor", "e.x")
@@ -122,8 +124,9 @@ def regime_score(f: DataFrame, default: str = "trend") -> DataFrame:
         "range": F.coalesce("range_pct", zero) - 0.5 * F.coalesce("gap_pct", zero),
         "liquidity": F.log10(F.greatest("median_turnover", F.lit(1.0))),
         "expansion": F.col("turnover_expansion")})
-    z = winsorised_z(raw, ["date"], "symbol", ["rs", "cleanness", "slope", "range", "liquidity", "expansion"])
-    scored = f.select("date", "symbol", "family").join(z, ["date", "symbol"])
+    blocks = ["rs", "cleanness", "slope", "range", "liquidity", "expansion"]
+    raw = settle(raw.select("date", "symbol", "family", *blocks))
+    scored = raw.select("date", "symbol", "family").join(winsorised_z(raw, ["date"], "symbol", blocks), ["date", "symbol"])
     trend = 0.5 * F.col("z_cleanness") + 0.5 * F.col("z_slope")
     total = (weight("rs") * F.col("z_rs") + weight("trend") * trend + weight("range") * F.col("z_range")
              + weight("liquidity") * F.col("z_liquidity") + weight("expansion") * F.col("z_expansion"))

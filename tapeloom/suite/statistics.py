@@ -242,8 +242,13 @@ def _(spark, sf):
     return p.select("n_side", "observations", fixed(F.col("avg_names")).alias("avg_names"), *[fixed(F.col(c), 5).alias(c) for c in ("vol_pct", "se_pct", "detectable_pct")], fixed(F.col("years_for_5pct"), 4).alias("years_for_5pct"))
 
 
-@query("breadth", f"""WITH {q.PANEL}, m AS (SELECT date, close, CASE WHEN count(*) OVER w>=10 THEN avg(close) OVER w END AS ma FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY session_no ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
-SELECT date, round(avg(CAST(close>ma AS INT)), 8) AS breadth, count(*) AS names FROM m WHERE ma IS NOT NULL GROUP BY 1""")
+BREADTH = """, bm AS (SELECT symbol, session_no, CASE WHEN count(*) OVER w>=10 THEN CAST(close>avg(close) OVER w AS INT) END AS above FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY session_no ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+bg AS (SELECT symbol, date, session_no FROM (SELECT DISTINCT symbol FROM panel) CROSS JOIN cal),
+bf AS (SELECT date, session_no, last_value(above IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY session_no) AS above FROM bg LEFT JOIN bm USING (symbol, session_no)),
+br AS (SELECT date, session_no, avg(above) AS breadth, count(above) AS names FROM bf WHERE above IS NOT NULL GROUP BY ALL)"""
+
+
+@query("breadth", f"WITH {q.PANEL}{BREADTH} SELECT date, session_no, round(breadth, 8) AS breadth, names FROM br")
 def _(spark, sf):
     return st.breadth(src.panel(spark, sf), 10).withColumn("breadth", fixed(F.col("breadth"), 8))
 

@@ -66,11 +66,11 @@ def benchmark(bars: DataFrame) -> DataFrame:
         F.avg("close").alias("close"), F.avg("high").alias("high"), F.avg("low").alias("low"))
 
 
-def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly bars from event ticks, symbol = user_id % 5."""
+def hourly_bars(spark: SparkSession, sf_dir: str, level: float = 500.0) -> DataFrame:
+    """Hourly bars from event ticks, symbol = user_id % 5; the event value is a move around a price level."""
     ticks = table(spark, sf_dir, "events").select(
         (F.col("user_id") % 5).alias("symbol"), F.col("ts").cast("date").alias("trade_date"),
-        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bar_ts"), F.col("value").alias("px"), "ts", "event_id")
+        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bar_ts"), (F.col("value") + level).alias("px"), "ts", "event_id")
     bars = bars_from_ticks(ticks, ["symbol", "trade_date", "bar_ts"], ["ts", "event_id"], "px",
                            [F.count(F.lit(1)).cast("double").alias("volume")])
     return bars

@@ -16,7 +16,7 @@ panel AS (SELECT b.*, c.session_no FROM wbars b JOIN cal c USING (date))"""
 BENCH = PANEL + """,
 bench AS (SELECT date, session_no, avg(close) AS close, avg(high) AS high, avg(low) AS low FROM panel GROUP BY ALL)"""
 
-HBARS = """hticks AS (SELECT user_id%5 AS symbol, CAST(ts AS DATE) AS trade_date, date_trunc('hour', ts) AS bar_ts, value AS px,
+HBARS = """hticks AS (SELECT user_id%5 AS symbol, CAST(ts AS DATE) AS trade_date, date_trunc('hour', ts) AS bar_ts, value+500.0 AS px,
   row_number() OVER (PARTITION BY user_id%5, date_trunc('hour', ts) ORDER BY ts, event_id) AS rn,
   count(*) OVER (PARTITION BY user_id%5, date_trunc('hour', ts)) AS n FROM events),
 hbars AS (SELECT symbol, trade_date, bar_ts, max(CASE WHEN rn=1 THEN px END) AS open, max(px) AS high, min(px) AS low,

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from tapeloom.functions.frames import lookback, ratio, rolling
 from tapeloom.plans import ordered
+from tapeloom.session import settle
 
 
 @dataclass(frozen=True)
@@ -54,8 +55,8 @@ def rank_normalise(rows: DataFrame, names: Sequence[str], keep: Sequence[str]) -
     """Average rank ÷ n − 0.5 of every column inside its date.
 
     The columns are ranked in one long form, so the number of features does not multiply the shuffles.
-    ``rows`` is read twice: settle it first when it is expensive.
     """
+    rows = settle(rows)
     e = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("x")) for n in names])
     long = rows.select("date", "symbol", F.explode(e).alias("e")).select("date", "symbol", "e.name", "e.x")
     ranked = ordered.average_ranks(long, ["date", "name"], "x", "_r", "_n").withColumn("_v", F.col("_r") / F.col("_n") - 0.5)
@@ -64,8 +65,7 @@ def rank_normalise(rows: DataFrame, names: Sequence[str], keep: Sequence[str]) -
 
 
 def build_features(panel: DataFrame, p: FeatureParams = FeatureParams(), leak: bool = False) -> DataFrame:
-    from tapeloom.session import settle
-    return rank_normalise(settle(raw_features(panel, p, leak)), p.names, ["session_no", "y"])
+    return rank_normalise(raw_features(panel, p, leak), p.names, ["session_no", "y"])
 
 
 class InsufficientHistory(RuntimeError):
@@ -141,10 +141,8 @@ def assign_folds(features: DataFrame, folds: DataFrame, pred: Column) -> DataFra
 
 
 def rank_ic_deciles(predictions: DataFrame, min_names: int = 20) -> DataFrame:
-    """Per fold and date: rank correlation of prediction and outcome, mean outcome of the top and bottom tenth.
-
-    ``predictions`` is read several times: settle it first when it is expensive.
-    """
+    """Per fold and date: rank correlation of prediction and outcome, mean outcome of the top and bottom tenth."""
+    predictions = settle(predictions, "fold", "date", "symbol", "pred", "y")
     by = ["fold", "date"]
     wide = predictions.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_names)
     rows = predictions.join(F.broadcast(wide), by)

@@ -65,7 +65,7 @@ def decile_spread(scored: DataFrame, p: SpreadParams = SpreadParams(), start: in
     ``start``/``end`` restrict to a contiguous part of the calendar whose rows are numbered afresh; the first row of
     a part has no return.
     """
-    part = scored.filter(F.col("session_no") > start)
+    part = settle(scored, "symbol", "date", "session_no", "close", "eligible", "score").filter(F.col("session_no") > start)
     if end is not None:
         part = part.filter(F.col("session_no") <= end)
     rets = with_returns(part).filter(F.col("ret").isNotNull()).select("symbol", "session_no", "date", "ret")
@@ -131,7 +131,7 @@ def stage1_verdict(scored: DataFrame, p: SpreadParams, lags: int, sessions: int,
     ``scored`` is read by six branches, so it is settled once. The halves re-warm from their own first row; the
     eligibility mask is the full panel's.
     """
-    base = settle(scored.select("symbol", "date", "session_no", "close", "eligible", "score"))
+    base = settle(scored, "symbol", "date", "session_no", "close", "eligible", "score")
     half = sessions // 2
     runs = [("full", decile_spread(base, p))]
     if half > p.look + 2 * p.step:
@@ -189,6 +189,7 @@ def random_null(scored: DataFrame, n: int, step: int, trials: int, score: Column
     Only eligible rows of the rebalance sessions are multiplied by the trials, and each task keeps n rows per
     (trial, session) before the shuffle. ``score`` replaces the hash (evaluator hook).
     """
+    scored = settle(scored)
     days = F.broadcast(xs.rebalance_dates(scored, step).select("session_no"))
     fwd = scored.withColumn("_fwd", ratio(lookback("close", -step), F.col("close")) - 1)
     rows = fwd.filter("eligible").join(days, "session_no").select("session_no", "symbol", "_fwd", "score")
@@ -277,7 +278,7 @@ def power_table(scored: DataFrame, sides: Sequence[int], per_year: int = PER_YEA
     """Volatility of the n×n next-session spread and what it can resolve; the mean is never output."""
     most = max(sides)
     nxt = scored.withColumn("_next", ratio(lookback("close", -1), F.col("close")) - 1)
-    rows = nxt.filter(F.col("eligible") & F.col("score").isNotNull()).select("session_no", "symbol", "score", "_next")
+    rows = settle(nxt.filter(F.col("eligible") & F.col("score").isNotNull()).select("session_no", "symbol", "score", "_next"))
     wide = rows.groupBy("session_no").agg(F.count(F.lit(1)).alias("width"))
     top = xs.top_n(rows, most, ["session_no"], [F.col("score").desc(), F.col("symbol").asc()]).withColumn("side", F.lit(1))
     low = xs.top_n(rows, most, ["session_no"], [F.col("score").asc(), F.col("symbol").asc()]).withColumn("side", F.lit(-1))

@@ -51,9 +51,9 @@ def rank_top_n(scored: DataFrame, n: int) -> DataFrame:
 def winsorised_z(df: DataFrame, group: Sequence[str], key: str, cols: Sequence[str], limit: float = 3.0) -> DataFrame:
     """(group, key, z_<col>…): median/MAD scores clipped at ±limit; population z when the MAD is zero; null → 0.
 
-    All columns go through one long form, so any number of factors costs two exact-median passes. ``df`` is read
-    several times: settle it first when it is expensive.
+    All columns go through one long form, so any number of factors costs two exact-median passes.
     """
+    df = settle(df, *group, key, *cols)
     entries = F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).cast("double").alias("x")) for c in cols])
     long = df.select(*group, key, F.explode(entries).alias("e")).select(*group, key, "e.factor", "e.x")
     by = [*group, "factor"]
@@ -210,6 +210,7 @@ def clenow_ranking(rows: DataFrame) -> DataFrame:
 
 def clenow_exit_reason(holdings: DataFrame, rows: DataFrame, r: TrendRules = TrendRules()) -> DataFrame:
     """Why each holding should be closed on its date, null to keep it (also when there is no bar that day)."""
+    rows = settle(rows, "date", "symbol", "score", "close", "investable", "trend_ma", "max_gap")
     ranks = clenow_ranking(rows.select("date", "symbol", "score", "investable")).select("date", "symbol", "rank")
     sizes = rows.filter("investable").groupBy("date").agg(F.count(F.lit(1)).alias("size"))
     known = rows.select("symbol").distinct().withColumn("known", F.lit(True))
@@ -256,9 +257,9 @@ def targets(scored: DataFrame, n: int, step: int) -> DataFrame:
 
 def target_holdings(scored: DataFrame, n: int, step: int) -> DataFrame:
     """Names entered, kept and left at each rebalance against the previous target."""
+    scored = settle(scored)
     t = targets(scored, n, step).select("rebalance_no", "symbol")
     prev = t.select((F.col("rebalance_no") + 1).alias("rebalance_no"), "symbol", F.lit(1).alias("_was"))
-    last = scored.select(F.max("session_no") - 0)
     both = t.withColumn("_is", F.lit(1)).join(prev, ["rebalance_no", "symbol"], "full")
     days = rebalance_dates(scored, step).select("rebalance_no", "date")
     change = F.when(F.col("_was").isNull(), "entered").when(F.col("_is").isNull(), "left").otherwise("kept")
@@ -274,6 +275,7 @@ def holding_returns(t: DataFrame, panel: DataFrame, hold: str = "_until", keys:
 
 def holdings_return_curve(scored: DataFrame, n: int, step: int, cost_bps: float = 0.0) -> DataFrame:
     """Equal-weight return of the target names from the session after each decision, cost drag on traded weight."""
+    scored = settle(scored)
     t = targets(scored, n, step).withColumn("_until", F.col("session_no") + step)
     daily = (holding_returns(t, scored).groupBy("session_no", "date").agg(F.avg("ret").alias("gross"), F.count("ret").alias("names")))
     ch = target_holdings(scored, n, step)
@@ -297,6 +299,7 @@ def grid_returns(scored: DataFrame, cells: DataFrame, most: int) -> DataFrame:
 
     ``cells``: one row holding an array of (n, step) structs; nothing is selected from the result.
     """
+    scored = settle(scored)
     first = scored.filter(F.col("score").isNotNull()).select(F.min("session_no"))
     last = scored.select(F.max("session_no"))
     best = rank_top_n(scored.filter(F.col("session_no") >= first.scalar()), most)

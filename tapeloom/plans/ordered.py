@@ -52,39 +52,35 @@ def row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Column], na
 
 
 def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                 sums: Mapping[str, Column]) -> DataFrame:
-    """Inclusive running sums in ``order`` (unique inside the group)."""
+                 sums: Mapping[str, Column], totals: bool = False) -> DataFrame:
+    """Inclusive running sums in ``order`` (unique inside the group); with ``totals`` the group's sum as <name>_all."""
     tagged = df.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()])
     laid = lay_out(tagged, group, order)
     local = (Window.partitionBy(*group, PART).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    offs = _offsets(laid, group, {f"t_{n}": F.sum(f"_v_{n}") for n in sums})
+    offs = _offsets(laid, group, {n: F.sum(f"_v_{n}") for n in sums})
     scanned = laid.select("*", *[F.sum(f"_v_{n}").over(local).alias(f"_s_{n}") for n in sums])
     joined = scanned.join(offs, [*group, PART])
-    keep = [c for c in df.columns]
-    return joined.select(*keep, *[(F.col(f"_s_{n}") + F.col(f"_t_{n}_before")).alias(n) for n in sums])
+    return joined.select(*df.columns, *[(F.col(f"_s_{n}") + F.col(f"_{n}_before")).alias(n) for n in sums],
+                         *[f"{n}_all" for n in sums if totals])
 
 
 def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Distinct values per group with how often they occur and how many rows lie below them.
+    """Distinct values per group: how often they occur, how many rows lie below them, and the group's rows.
 
     Ties collapse in the partial aggregate, so a value carried by a third of the rows is one row here.
     """
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_ties")))
-    run = running_sums(counts, group, [F.col(value)], {"_upto": F.col("_ties")})
-    return run.withColumn("_below", F.col("_upto") - F.col("_ties")).drop("_upto")
+    run = running_sums(counts, group, [F.col(value)], {"upto": F.col("_ties")}, totals=True)
+    return run.select(*group, value, "_ties", (F.col("upto") - F.col("_ties")).alias("_below"), F.col("upto_all").alias("_n"))
 
 
 def average_ranks(df: DataFrame, group: Sequence[str], value: str, name: str = "rank",
                   size: str | None = None) -> DataFrame:
     """Average rank of ``value`` inside the group (ties share the mean of their places); null stays null."""
-    counts = value_counts(df, group, value)
-    ranked = counts.select(*group, value, (F.col("_below") + (F.col("_ties") + 1) / 2.0).alias(name))
-    out = df.join(ranked, [*group, value], "left")
-    if size:
-        sizes = counts.groupBy(*group).agg(F.sum("_ties").alias(size))
-        out = out.join(sizes, list(group), "left")
-    return out
+    place = (F.col("_below") + (F.col("_ties") + 1) / 2.0).alias(name)
+    ranked = value_counts(df, group, value).select(*group, value, place, *([F.col("_n").alias(size)] if size else []))
+    return df.join(ranked, [*group, value], "left")
 
 
 def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
@@ -93,9 +89,7 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Mapping[st
     For probability p the position is p·(n−1); the two neighbouring order statistics are read from the
     (below, ties) intervals that cover them, so no task ever holds a whole group.
     """
-    counts = value_counts(df, group, value)
-    totals = counts.groupBy(*group).agg(F.sum("_ties").alias("_n"))
-    hit = counts.join(totals, list(group))
+    hit = value_counts(df, group, value)
     aggs = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_n") - 1)

@@ -43,11 +43,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files.
+def settle(df: DataFrame, *cols: str) -> DataFrame:
+    """Write ``df`` (only ``cols`` when given) to the shared checkpoint folder and continue from the files.
 
-    Used where a plan reads one layout several times and all reads must agree (range ranks), or where a loop
-    would grow the lineage (connected components). The files outlive any executor.
+    Used where an input is read several times (so that the raw tables are scanned and aggregated once), where all
+    reads of one layout must agree (range ranks), or where a loop would grow the lineage (connected components).
+    The files outlive any executor. A frame that is already settled is returned as it is.
     """
+    if getattr(df, "_settled", False):
+        return df
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = (df.select(*cols) if cols else df).checkpoint(eager=True)
+    out._settled = True
+    return out

@@ -12,6 +12,7 @@ import math
 import os
 import sys
 import time
+from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -33,6 +34,16 @@ def norm(v):
     return v if isinstance(v, (str, dt.date)) else str(v)
 
 
+def by_name(cols, rows):
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    return [tuple(r[i] for i in order) for r in rows]
+
+
+def strict(v):
+    """The value as it is, numbers as floats."""
+    return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+
+
 def rows_of(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(norm(r[i]) for i in order) for r in rows]
@@ -63,7 +74,8 @@ def main() -> int:
         t0 = time.time()
         try:
             df = queries[name](spark, args.sf)
-            cols, rows = rows_of(df.columns, df.collect())
+            got = df.collect()
+            cols, rows = rows_of(df.columns, got)
         except Exception as exc:  # noqa: BLE001
             print(f"ERROR  {name}: {str(exc)[:1500]}")
             bad += 1
@@ -74,7 +86,9 @@ def main() -> int:
             continue
         try:
             cur = con.execute(oracle[name])
-            dcols, drows = rows_of([d[0] for d in cur.description], cur.fetchall())
+            want, names_ = cur.fetchall(), [d[0] for d in cur.description]
+            dcols, drows = rows_of(names_, want)
+            raw = (by_name(df.columns, got), by_name(names_, want))
         except Exception as exc:  # noqa: BLE001
             print(f"SQLERR {name}: {str(exc)[:1500]}")
             bad += 1
@@ -92,9 +106,10 @@ def main() -> int:
             for r in [r for r in drows if r not in s][:args.show]:
                 print("   duck ", r)
         else:
+            exact = len(Counter(map(tuple, (map(strict, r) for r in raw[0]))) - Counter(map(tuple, (map(strict, r) for r in raw[1]))))
             nul = [c for i, c in enumerate(cols) if rows and all(r[i] is None for r in rows)]
             print(f"ok     {name}: {len(rows)} rows spark {t1 - t0:.1f}s duck {t2 - t1:.1f}s"
-                  + (f" ALL-NULL {nul}" if nul else ""), flush=True)
+                  + (f" ALL-NULL {nul}" if nul else "") + (f" NOT-EXACT {exact}" if exact else ""), flush=True)
     print(f"{bad} bad of {len(names)}")
     return 1 if bad else 0
 

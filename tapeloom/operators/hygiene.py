@@ -12,6 +12,7 @@ from tapeloom.functions.frames import lookback, median_of, ratio
 from tapeloom.operators import actions as act
 from tapeloom.operators import identity as ident
 from tapeloom.operators.calendars import series_filter
+from tapeloom.session import settle
 from tapeloom.sources.tables import with_sessions
 
 JUMP_DOWN, JUMP_UP = -0.42, 0.90
@@ -59,16 +60,19 @@ def mask_bad_prints(bars: DataFrame, move: float = 0.15, reversion: float = 0.60
 
 def split_detect(bars: DataFrame, floor: float = 0.35, near: float = 0.05, open_near: float = 0.15) -> DataFrame:
     """Price-only split candidates: a jump of at least ``floor`` close to a simple ratio, already opened in the
-    new scale, that the next printed bar does not undo. Textbook form; the depth floor is the documented limit."""
+    new scale, that neither undoes the bar before nor is undone by the next one. Textbook form; the depth floor is the
+    documented limit."""
     w = Window.partitionBy("symbol").orderBy("date")
     prev, nxt = F.lag("close").over(w), F.lead("close").over(w)
     step = bars.withColumns({"_obs": F.col("close") / prev, "_open": F.col("open") / prev, "_stay": nxt / F.col("close")})
+    step = step.withColumn("_before", F.lag("_obs").over(w))
     table = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(k).alias("label")) for k, v in SIMPLE_RATIOS.items()])
     gaps = F.transform(table, lambda t: F.struct((F.abs(F.col("_obs") / t["value"] - 1)).alias("gap"),
                                                  t["value"].alias("value"), t["label"].alias("label")))
     best = step.withColumn("_best", F.array_min(gaps))
     ok = ((F.abs(F.col("_obs") - 1) >= floor) & (F.col("_best.gap") <= near)
-          & (F.abs(F.col("_open") / F.col("_best.value") - 1) <= open_near) & (F.abs(F.col("_stay") - 1) < floor))
+          & (F.abs(F.col("_open") / F.col("_best.value") - 1) <= open_near) & (F.abs(F.col("_stay") - 1) < floor)
+          & F.coalesce(F.abs(F.col("_before") - 1) < floor, F.lit(True)))
     return best.filter(ok).select("symbol", "date", F.col("_obs").alias("observed"), F.col("_best.label").alias("nearest"))
 
 
@@ -91,12 +95,13 @@ class BuiltPanel:
 def build_panel(rows: DataFrame, actions: DataFrame, series: tuple[str, ...] = ("EQ",)) -> BuiltPanel:
     """Archive rows to the adjusted, quarantined long panel keyed by entity.
 
-    Prices are adjusted, volume and turnover are left as traded (a split does not change turnover).
+    Prices are adjusted, volume and turnover are left as traded (a split does not change turnover). The listed rows
+    and the daily bars are read several times, so both are settled.
     """
-    listed = series_filter(rows, series)
+    listed = settle(series_filter(rows, series))
     ents = ident.resolve_entities(listed)
     mapped = ident.entity_map_join(listed, ents)
-    daily = ident.entity_day_collapse(mapped, ["close", "open", "volume", "turnover"], ["isin"])
+    daily = settle(ident.entity_day_collapse(mapped, ["close", "open", "volume", "turnover"], ["isin"]))
     found = ident.entity_fallback_lookup(actions, ents).filter(F.col("entity").isNotNull())
     checked = act.confirm_actions(found, daily, "entity")
     confirmed = checked.filter(F.col("status") == "confirmed")

@@ -80,8 +80,9 @@ def scan_day_files(spark: SparkSession, path: str, schema: T.StructType) -> Data
             .option("columnNameOfCorruptRecord", "_corrupt").csv(path)
             .select("*", F.col("_metadata.file_path").alias("_file")))
     day = F.to_date(F.regexp_extract("_file", r"(\d{8})[^/]*$", 1), "yyyyMMdd")
+    blank = F.coalesce(*[F.col(c).cast("string") for c in schema.names]).isNull()
     return rows.groupBy(day.alias("date")).agg(
-        F.count(F.lit(1)).alias("rows"), F.count("_corrupt").alias("corrupt"))
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_corrupt").isNotNull() | blank).alias("corrupt"))
 
 
 def write_archive(df: DataFrame, path: str) -> None:

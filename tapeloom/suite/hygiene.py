@@ -8,6 +8,7 @@ from tapeloom.functions.frames import fixed
 from tapeloom.operators import actions as act
 from tapeloom.operators import hygiene as hyg
 from tapeloom.operators import identity as ident
+from tapeloom.session import settle
 from tapeloom.sources import tables as src
 from tapeloom.suite import sqlparts as q
 from tapeloom.suite.panel import _RAW, tidy
@@ -168,12 +169,14 @@ def _(spark, sf):
 
 @query("back_adjust", f"""WITH {CHECKED}, st AS (SELECT symbol, ex_date, factor FROM checked WHERE status='confirmed'),
 adj AS (SELECT b.symbol, b.date, product(s.factor) AS adj FROM wbars b JOIN st s ON s.symbol=b.symbol AND s.ex_date>b.date GROUP BY ALL)
-SELECT b.symbol, b.date, round(coalesce(adj,1.0), 8) AS adjustment, round(close*coalesce(adj,1.0), 9) AS close, round(open*coalesce(adj,1.0), 9) AS open, volume
+SELECT b.symbol, b.date, round(coalesce(adj,1.0), 8) AS adjustment, round(ln(close*coalesce(adj,1.0)), 9) AS log_close, round(ln(open*coalesce(adj,1.0)), 9) AS log_open, volume
 FROM wbars b LEFT JOIN adj USING (symbol, date)""")
 def _(spark, sf):
-    out = act.back_adjust(src.weekly_bars(spark, sf), _checked(spark, sf).filter(F.col("status") == "confirmed"))
-    return out.select("symbol", "date", fixed(F.col("adjustment"), 8).alias("adjustment"), fixed(F.col("close"), 9).alias("close"),
-                      fixed(F.col("open"), 9).alias("open"), "volume")
+    bars = settle(src.weekly_bars(spark, sf))
+    checked = act.confirm_actions(_parsed(spark, sf), bars)
+    out = act.back_adjust(bars, checked.filter(F.col("status") == "confirmed"))
+    return out.select("symbol", "date", fixed(F.col("adjustment"), 8).alias("adjustment"), fixed(F.log("close"), 9).alias("log_close"),
+                      fixed(F.log("open"), 9).alias("log_open"), "volume")
 
 
 JUMPS = q.PANEL + """, rets AS (SELECT p.*, p.close/l.close-1 AS ret FROM panel p LEFT JOIN panel l ON l.symbol=p.symbol AND l.session_no=p.session_no-1),
@@ -203,11 +206,11 @@ def _(spark, sf):
     return hyg.mask_bad_prints(src.weekly_bars(spark, sf), 0.5, 0.6, 5).select("symbol", "date", "bad", "close", "volume")
 
 
-@query("split_detect", f"""WITH {q.WBARS}, o AS (SELECT symbol, date, close/lag(close) OVER w AS obs, open/lag(close) OVER w AS op, lead(close) OVER w/close AS stay
+@query("split_detect", f"""WITH {q.WBARS}, o AS (SELECT symbol, date, lag(close) OVER w/lag(close, 2) OVER w AS before, close/lag(close) OVER w AS obs, open/lag(close) OVER w AS op, lead(close) OVER w/close AS stay
  FROM wbars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
 t(label, value) AS (VALUES ('1/10',0.1::DOUBLE),('1/5',0.2),('1/4',0.25),('1/3',1/3),('2/5',0.4),('1/2',0.5),('3/5',0.6),('2/1',2.0),('5/1',5.0),('10/1',10.0)),
 b AS (SELECT o.*, label, value, abs(obs/value-1) AS gap FROM o, t WHERE obs IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY abs(obs/value-1), value)=1)
-SELECT symbol, date, round(obs, 8) AS observed, label AS nearest FROM b WHERE abs(obs-1)>=0.35 AND gap<=0.05 AND abs(op/value-1)<=0.15 AND abs(stay-1)<0.35""")
+SELECT symbol, date, round(obs, 8) AS observed, label AS nearest FROM b WHERE abs(obs-1)>=0.35 AND gap<=0.05 AND abs(op/value-1)<=0.15 AND abs(stay-1)<0.35 AND coalesce(abs(before-1)<0.35, true)""")
 def _(spark, sf):
     return hyg.split_detect(src.weekly_bars(spark, sf)).withColumn("observed", fixed(F.col("observed"), 8))
 
@@ -239,10 +242,10 @@ cal2 AS (SELECT date, row_number() OVER (ORDER BY date) AS sno FROM (SELECT DIST
 s AS (SELECT * FROM ad JOIN cal2 USING (date)),
 r AS (SELECT a.*, a.close/b.close-1 AS ret FROM s a LEFT JOIN s b ON a.entity=b.entity AND b.sno=a.sno-1),
 cut AS (SELECT entity, max(sno) AS cut FROM r WHERE ret < -0.42 OR ret > 0.90 GROUP BY 1)
-SELECT entity, date, round(CASE WHEN cut IS NULL OR sno>=cut THEN close END, 9) AS close, round(CASE WHEN cut IS NULL OR sno>=cut THEN open END, 9) AS open, volume
+SELECT entity, date, round(ln(CASE WHEN cut IS NULL OR sno>=cut THEN close END), 9) AS log_close, round(ln(CASE WHEN cut IS NULL OR sno>=cut THEN open END), 9) AS log_open, volume
 FROM r LEFT JOIN cut USING (entity)""")
 def _(spark, sf):
-    return _built(spark, sf).panel.select("entity", "date", fixed(F.col("close"), 9).alias("close"), fixed(F.col("open"), 9).alias("open"), "volume")
+    return _built(spark, sf).panel.select("entity", "date", fixed(F.log("close"), 9).alias("log_close"), fixed(F.log("open"), 9).alias("log_open"), "volume")
 
 
 @query("survivor_counts", f"""WITH {q.WBARS}, f AS (SELECT DISTINCT symbol FROM wbars WHERE year(date)=(SELECT year(min(date)) FROM wbars)),

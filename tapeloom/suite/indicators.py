@@ -144,9 +144,9 @@ def _(spark, sf):
 u AS (SELECT *, CASE WHEN mv IS NOT NULL THEN greatest(mv, 0) END AS up, CASE WHEN mv IS NOT NULL THEN greatest(-mv, 0) END AS dn FROM m),
 a AS (SELECT *, {fold('up', '(1.0::DOUBLE/14)', 14, 'u', 'au')}, {fold('dn', '(1.0::DOUBLE/14)', 14, 'u', 'ad')}, count(close) {ROWS.format(19)} AS n, count(lr) {ROWS.format(19)} AS nl,
  avg(close) {ROWS.format(19)} AS mid, stddev_samp(close) {ROWS.format(19)} AS sd, stddev_samp(lr) {ROWS.format(19)} AS lsd FROM u)
-SELECT symbol, session_no, round(CASE WHEN ad=0 THEN 100.0 ELSE 100-100/(1+au/ad) END, 8) AS rsi, round(CASE WHEN n>=20 THEN mid END, 8) AS bb_mid,
-round(CASE WHEN n>=20 THEN mid+2*sd END, 8) AS bb_upper, round(CASE WHEN n>=20 THEN mid-2*sd END, 8) AS bb_lower, round(CASE WHEN nl>=20 THEN lsd*sqrt(52) END, 8) AS realised_vol FROM a""")
+SELECT symbol, session_no, round(CASE WHEN ad=0 THEN 100.0 ELSE 100-100/(1+au/ad) END, 6) AS rsi, round(CASE WHEN n>=20 THEN mid END, 6) AS bb_mid,
+round(CASE WHEN n>=20 THEN mid+2*sd END, 6) AS bb_upper, round(CASE WHEN n>=20 THEN mid-2*sd END, 6) AS bb_lower, round(CASE WHEN nl>=20 THEN lsd*sqrt(52) END, 6) AS realised_vol FROM a""")
 def _(spark, sf):
     p = src.panel(spark, sf).select("symbol", "session_no", "close")
     full = ind.realised_vol(ind.bollinger(ind.rsi(p)), 20, 52)
-    return out(full, "rsi", "bb_mid", "bb_upper", "bb_lower", "realised_vol", digits=8)
+    return out(full, "rsi", "bb_mid", "bb_upper", "bb_lower", "realised_vol", digits=6)

@@ -130,11 +130,11 @@ def _(spark, sf):
 
 
 @query("peak_drawdown_limit", f"""WITH {SESS}, e AS (SELECT trade_date, sum(net_pnl) OVER s AS equity, avg(net_pnl) OVER s AS rate FROM ses WINDOW s AS (ORDER BY trade_date)), p AS (SELECT *, greatest(max(equity) OVER (ORDER BY trade_date), 0) AS peak FROM e)
-SELECT trade_date, round(equity, 5)+0.0 AS equity, round(peak, 5) AS peak, round(peak-equity, 5)+0.0 AS drawdown, peak-equity>=200000 AS tripped, round(CASE WHEN peak-equity<200000 THEN 200000-(peak-equity) END, 5) AS room,
+SELECT trade_date, round(equity, 2)+0.0 AS equity, round(peak, 2) AS peak, round(peak-equity, 2)+0.0 AS drawdown, peak-equity>=200000 AS tripped, round(CASE WHEN peak-equity<200000 THEN 200000-(peak-equity) END, 2) AS room,
 CAST(CASE WHEN peak-equity<200000 AND rate<0 THEN floor((200000-(peak-equity))/abs(rate)) END AS BIGINT) AS sessions_left FROM p""")
 def _(spark, sf):
     p = rc.peak_drawdown_limit(sessions(spark, sf), CAPITAL, 10.0)
-    return p.withColumns({c: fixed(F.col(c), 5) for c in ("equity", "peak", "drawdown", "room")})
+    return p.withColumns({c: fixed(F.col(c), 2) for c in ("equity", "peak", "drawdown", "room")})
 
 
 @query("open_exposure", f"""WITH {NET}, ev AS (SELECT trade_date, open_min AS minute, 1 AS d, quantity*entry_price AS v FROM net UNION ALL SELECT trade_date, close_min, -1, quantity*entry_price FROM net), g AS (SELECT trade_date, minute, sum(d) AS p, sum(d*v) AS v FROM ev GROUP BY ALL)
@@ -145,11 +145,11 @@ def _(spark, sf):
 
 @query("session_vs_prior", f"""WITH {SESS}, cl AS (SELECT CAST(unnest(generate_series(min(trade_date), max(trade_date), INTERVAL 1 DAY)) AS DATE) AS trade_date FROM ses),
 p AS (SELECT trade_date, net_pnl, avg(net_pnl) OVER s AS pm, count(net_pnl) OVER s AS n FROM ses WINDOW s AS (ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT trade_date, round(net_pnl, 9)+0.0 AS net_pnl, round(pm, 9)+0.0 AS prior_mean, n AS prior_sessions, CASE WHEN net_pnl IS NULL THEN 'none' WHEN net_pnl < -250 THEN 'breached' ELSE 'held' END AS status FROM cl LEFT JOIN p USING (trade_date) WHERE isodow(trade_date)<=5""")
+SELECT trade_date, round(net_pnl, 9)+0.0 AS net_pnl, round(pm, 5)+0.0 AS prior_mean, n AS prior_sessions, CASE WHEN net_pnl IS NULL THEN 'none' WHEN net_pnl < -250 THEN 'breached' ELSE 'held' END AS status FROM cl LEFT JOIN p USING (trade_date) WHERE isodow(trade_date)<=5""")
 def _(spark, sf):
     s = sessions(spark, sf)
     days = archive.weekday_calendar(s.agg(F.min("trade_date").alias("first"), F.max("trade_date").alias("last"))).withColumnRenamed("date", "trade_date")
-    return rc.session_vs_prior(s, days).withColumns({c: fixed(F.col(c), 9) for c in ("net_pnl", "prior_mean")})
+    return rc.session_vs_prior(s, days).withColumns({"net_pnl": fixed(F.col("net_pnl"), 9), "prior_mean": fixed(F.col("prior_mean"), 5)})
 
 
 EQ = SESS + ", eqc AS (SELECT trade_date, 2000000+sum(net_pnl) OVER (ORDER BY trade_date) AS equity FROM ses)"

@@ -53,15 +53,15 @@ def _(spark, sf):
     return table(spark, sf).select("date", fixed(F.col("confidence")).alias("confidence"))
 
 
-_RC = ("close", "ema_fast", "ema_slow", "sma_anchor", "atr_pct", "breadth")
+_RC = ("ema_fast", "ema_slow", "sma_anchor", "atr_pct", "breadth")
 
 
-@query("regime_table", f"""WITH {REG} SELECT date, {', '.join(f'round({c}, 7) AS {c}' for c in _RC)}, concat(CASE direction WHEN 1 THEN 'bull' WHEN -1 THEN 'bear' ELSE 'neutral' END, '_', family) AS label,
+@query("regime_table", f"""WITH {REG} SELECT date, round(ln(close), 9) AS log_close, {', '.join(f'round({c}, 7) AS {c}' for c in _RC)}, concat(CASE direction WHEN 1 THEN 'bull' WHEN -1 THEN 'bear' ELSE 'neutral' END, '_', family) AS label,
 direction>=0 AS allows_long, direction<=0 AS allows_short, concat_ws('; ', CASE WHEN close>sma_anchor THEN 'close above 40-session mean' WHEN close<sma_anchor THEN 'close below 40-session mean' END,
  CASE WHEN ema_fast>ema_slow THEN 'EMA10 above EMA20' WHEN ema_fast<ema_slow THEN 'EMA10 below EMA20' END, CASE WHEN breadth>=0.55 THEN 'breadth broad' WHEN breadth<=0.45 THEN 'breadth narrow' END,
  CASE WHEN direction=0 THEN 'evidence mixed' END, concat('family ', family)) AS reasons FROM reg""")
 def _(spark, sf):
-    return table(spark, sf).select("date", *[fixed(F.col(c), 7).alias(c) for c in _RC], "label", "allows_long", "allows_short",
+    return table(spark, sf).select("date", fixed(F.log("close"), 9).alias("log_close"), *[fixed(F.col(c), 7).alias(c) for c in _RC], "label", "allows_long", "allows_short",
                                    F.array_join("reasons", "; ").alias("reasons"))
 
 

@@ -125,9 +125,9 @@ def _(spark, sf):
 
 
 @query("equal_weight_eligible", f"""WITH {EW}, er AS (SELECT e.session_no, e.date, avg(ret) FILTER (WHERE eligible) AS ret FROM elig e JOIN rt USING (symbol, session_no) GROUP BY ALL)
-SELECT session_no, er.date, round(exp(sum(ln(1+coalesce(ret, 0))) OVER (ORDER BY session_no)), 6) AS value FROM er""")
+SELECT session_no, er.date, round(sum(ln(1+coalesce(ret, 0))) OVER (ORDER BY session_no), 8)+0.0 AS log_value FROM er""")
 def _(spark, sf):
-    return st.equal_weight_curve(scored(spark, sf), True).select("session_no", "date", fixed(F.col("value")).alias("value"))
+    return st.equal_weight_curve(scored(spark, sf), True).select("session_no", "date", fixed(F.log("value"), 8).alias("log_value"))
 
 
 @query("series_align", f"WITH {EW} SELECT date, round(rs, 8)+0.0 AS rs, round(rb, 8)+0.0 AS rb FROM al2")

@@ -9,7 +9,7 @@ partition is never larger than the calendar, however many raw rows one key holds
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -52,3 +52,9 @@ def ratio(top: Column, bottom: Column) -> Column:
 def fixed(col: Column, digits: int = 6) -> Column:
     """Rounded for output; adding zero turns −0.0 into 0.0."""
     return F.round(col.cast("double"), digits) + F.lit(0.0)
+
+
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row frame as a scalar subquery, so that no cross join is planned."""
+    row = one.select(F.struct(*one.columns)).scalar()
+    return df.select("*", *[row[c].alias(c) for c in one.columns])

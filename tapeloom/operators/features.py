@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.functions.frames import lookback, ratio, rolling
+from tapeloom.functions.frames import beside, lookback, ratio, rolling
 from tapeloom.plans import ordered
 from tapeloom.session import settle
 
@@ -135,9 +135,12 @@ def fit_predict(features: DataFrame, folds: DataFrame, names: Sequence[str], mod
 
 
 def assign_folds(features: DataFrame, folds: DataFrame, pred: Column) -> DataFrame:
-    """Test rows of each fold with a given prediction column instead of a fitted model; folds are few: broadcast."""
-    f = F.broadcast(folds.select("fold", "test_start", "test_end"))
-    return features.join(f, F.col("date").between(F.col("test_start"), F.col("test_end"))).select("fold", "date", "symbol", "y", pred.alias("pred"))
+    """Test rows of each fold with a given prediction column instead of a fitted model.
+
+    The folds become a date → fold table, which the calendar bounds.
+    """
+    days = folds.select("fold", F.explode(F.sequence("test_start", "test_end")).alias("date"))
+    return features.join(F.broadcast(days), "date").select("fold", "date", "symbol", "y", pred.alias("pred"))
 
 
 def rank_ic_deciles(predictions: DataFrame, min_names: int = 20) -> DataFrame:
@@ -196,6 +199,6 @@ def control_verdict(planted: DataFrame, noise: DataFrame, real: DataFrame, thres
     """The real figure may be read only when the planted edge is found and pure noise is not."""
     def one(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.col("mean_ic").alias(name))
-    j = one(planted, "planted_ic").crossJoin(one(noise, "noise_ic")).crossJoin(one(real, "real_ic"))
+    j = beside(beside(one(planted, "planted_ic"), one(noise, "noise_ic")), one(real, "real_ic"))
     found, quiet = F.coalesce(F.col("planted_ic") > threshold, F.lit(False)), F.coalesce(F.abs("noise_ic") < threshold, F.lit(False))
     return j.withColumns({"found": found, "quiet": quiet, "readable": found & quiet})

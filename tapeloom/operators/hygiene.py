@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.functions.frames import lookback, median_of, ratio
+from tapeloom.functions.frames import beside, lookback, median_of, ratio
 from tapeloom.operators import actions as act
 from tapeloom.operators import identity as ident
 from tapeloom.operators.calendars import series_filter
@@ -80,9 +80,9 @@ def panel_describe(panel: DataFrame) -> DataFrame:
     """Span and breadth of a panel; the median is over sessions, so its state is bounded by the calendar."""
     names = panel.agg(F.countDistinct("symbol").alias("names"))
     per = panel.groupBy("date").agg(F.count("close").alias("n"))
-    return per.agg(F.count(F.lit(1)).alias("sessions"), F.min("date").alias("first"), F.max("date").alias("last"),
+    return beside(per.agg(F.count(F.lit(1)).alias("sessions"), F.min("date").alias("first"), F.max("date").alias("last"),
                    F.min("n").alias("least"), median_of("n").alias("middle"), F.max("n").alias("most"),
-                   F.min_by("n", "date").alias("at_start"), F.max_by("n", "date").alias("at_end")).crossJoin(names)
+                   F.min_by("n", "date").alias("at_start"), F.max_by("n", "date").alias("at_end")), names)
 
 
 @dataclass(frozen=True)

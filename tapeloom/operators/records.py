@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapeloom.functions.frames import beside
 from tapeloom.functions.indicators import drawdown_curve
 from tapeloom.operators.statistics import DAYS_PER_YEAR
 from tapeloom.plans import ordered
@@ -142,7 +143,7 @@ def waiver_apply(checks: DataFrame, waivers: DataFrame, allowed: Sequence[str] =
     reason = F.nullif(F.trim("waiver_reason"), F.lit(""))
     status = (F.when(F.col("ok"), "PASS").when(F.col("_asked").isNull(), "FAIL")
               .when(~F.col("check").isin(list(allowed)) | reason.isNull(), "REFUSED").otherwise("WAIVED"))
-    j = checks.join(F.broadcast(asked.withColumn("_asked", F.lit(1))), "check", "left")
+    j = checks.join(asked.withColumn("_asked", F.lit(1)), "check", "left")
     return j.withColumn("status", status).drop("_asked")
 
 
@@ -184,7 +185,8 @@ def session_limit_audit(trades: DataFrame, p: LimitParams = LimitParams()) -> Da
         F.min(F.when(F.col("_kind").isNotNull(), F.struct("close_min", "trade_id", F.col("_kind").alias("kind")))).alias("_h"))
     halts = per.select("trade_date", "trades", "longest_losing_streak", F.greatest(F.col("trades") - p.max_trades, F.lit(0)).alias("beyond_cap"),
                        F.col("_h.close_min").alias("halt_min"), F.col("_h.kind").alias("halt_kind"))
-    after = (trades.join(halts.filter("halt_min IS NOT NULL").select("trade_date", "halt_min"), "trade_date")
+    stopped = F.broadcast(halts.filter("halt_min IS NOT NULL").select("trade_date", "halt_min"))  # one row per session
+    after = (trades.join(stopped, "trade_date")
              .filter(F.col("open_min") > F.col("halt_min")).groupBy("trade_date").agg(F.count(F.lit(1)).alias("opened_after_halt")))
     return halts.join(after, "trade_date", "left").na.fill(0, ["opened_after_halt"])
 
@@ -243,7 +245,7 @@ def swing_summary(trades: DataFrame, equity: DataFrame, capital: float, benchmar
     days = F.size(F.filter(F.sequence("_d0", "_d1"), lambda d: F.weekday(d) < 5))
     ret = 100 * (F.col("final_equity") / capital - 1)
     growth = F.when(F.col("final_equity") > 0, 100 * (F.pow(F.col("final_equity") / capital, 1 / F.col("years")) - 1))
-    return c.crossJoin(t).select("sessions", "trades", "net", "final_equity", ret.alias("return_pct"), growth.alias("cagr_pct"), "max_drawdown_pct", "sharpe", "win_rate_pct",
+    return beside(c, t).select("sessions", "trades", "net", "final_equity", ret.alias("return_pct"), growth.alias("cagr_pct"), "max_drawdown_pct", "sharpe", "win_rate_pct",
                                  "profit_factor", "avg_hold_days", "top_trade_share", (100 * F.col("sessions") / days).alias("exposure_pct"), (ret - benchmark_pct).alias("vs_benchmark_pp"))
 
 
@@ -257,7 +259,7 @@ def record_fingerprint(record: DataFrame, cols: Sequence[str]) -> DataFrame:
 def record_drift(now: DataFrame, stored: DataFrame) -> DataFrame:
     """Fields of a description that differ from the stored one; both are single rows."""
     fields = now.columns
-    pair = now.select(F.struct(*fields).alias("a")).crossJoin(stored.select(F.struct(*fields).alias("b")))
+    pair = beside(now.select(F.struct(*fields).alias("a")), stored.select(F.struct(*fields).alias("b")))
     diffs = F.array_compact(F.array(*[F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f)) for f in fields]))
     return pair.select(F.array_join(diffs, ",").alias("drifted"), (F.size(diffs) == 0).alias("matches"))
 
@@ -267,4 +269,4 @@ def generated_vs_stored(generated: DataFrame, stored: DataFrame) -> DataFrame:
     stored = stored.select(*generated.columns)
     missing = generated.exceptAll(stored).agg(F.count(F.lit(1)).alias("missing"))
     extra = stored.exceptAll(generated).agg(F.count(F.lit(1)).alias("unexpected"))
-    return missing.crossJoin(extra).withColumn("differs", (F.col("missing") + F.col("unexpected")) > 0)
+    return beside(missing, extra).withColumn("differs", (F.col("missing") + F.col("unexpected")) > 0)

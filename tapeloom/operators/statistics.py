@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.functions.frames import lookback, ratio
+from tapeloom.functions.frames import beside, lookback, ratio
 from tapeloom.functions.indicators import drawdown_curve
 from tapeloom.operators import xsection as xs
 from tapeloom.operators.calendars import align_calendar, mark_ffill
@@ -100,7 +100,7 @@ def spread_summary(daily: DataFrame, lags: int, keys: Sequence[str] = (), per_ye
     nw = newey_west(daily, "spread", lags, keys)
     span = daily.groupBy(*keys).agg((F.datediff(F.max("date"), F.min("date")) / DAYS_PER_YEAR).alias("years"),
                                     F.countDistinct("formed").alias("rebalances"))
-    one = nw.join(span, list(keys)) if keys else nw.crossJoin(span)
+    one = nw.join(span, list(keys)) if keys else beside(nw, span)
     annual, half = per_year * 100.0 * F.col("mean"), 1.96 * per_year * 100.0 * F.col("se")
     return one.withColumns({"annual_pct": annual, "ci_low": annual - half, "ci_high": annual + half})
 
@@ -120,8 +120,7 @@ def fama_macbeth_slopes(scored: DataFrame, p: SpreadParams = SpreadParams(), min
 
 
 def fama_macbeth(slopes: DataFrame, lags: int = 3) -> DataFrame:
-    return newey_west(slopes, "slope", lags).crossJoin(
-        slopes.agg(F.count(F.lit(1)).alias("periods"), F.avg("width").alias("avg_names")))
+    return beside(newey_west(slopes, "slope", lags), slopes.agg(F.count(F.lit(1)).alias("periods"), F.avg("width").alias("avg_names")))
 
 
 def stage1_verdict(scored: DataFrame, p: SpreadParams, lags: int, sessions: int, min_names: int = 50,
@@ -152,7 +151,7 @@ def stage1_verdict(scored: DataFrame, p: SpreadParams, lags: int, sessions: int,
         (F.col("first_mean") > 0) & (F.col("second_mean") > 0))
     verdict = (F.when(F.col("t").isNull(), "INCONCLUSIVE").when((F.col("t") <= -2) | (F.col("mean") < 0), "FAIL")
                .when(F.col("t") < 2, "INCONCLUSIVE").when(bad_half, "INCONCLUSIVE").otherwise("PASS"))
-    return one.crossJoin(fm).withColumns({"verdict": verdict, "pilot": F.col("years") < MIN_YEARS_FOR_VERDICT})
+    return beside(one, fm).withColumns({"verdict": verdict, "pilot": F.col("years") < MIN_YEARS_FOR_VERDICT})
 
 
 def series_align(a: DataFrame, b: DataFrame, order: str = "date", keys: Sequence[str] = ()) -> DataFrame:

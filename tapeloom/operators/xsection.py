@@ -6,7 +6,7 @@ selections are ``row_number() <= n`` filters, which Spark limits per task before
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -294,6 +294,24 @@ def compound(daily: DataFrame, ret: str, name: str, keys: Sequence[str] = ()) ->
     return daily.withColumn(name, F.exp(F.sum(F.log1p(F.coalesce(ret, F.lit(0.0)))).over(w)))
 
 
+@dataclass(frozen=True)
+class RankingRule:
+    """A cross-sectional rule: panel rows to (symbol, date, score, investable, entry_ok) rows."""
+
+    name: str
+    score: Callable[[DataFrame], DataFrame]
+
+
+def rank_with(rules: Sequence[RankingRule], panel: DataFrame, n: int) -> DataFrame:
+    """Best ``n`` enterable names per rule and date; the panel is read by every rule, so it is settled."""
+    panel = settle(panel)
+    out = None
+    for rule in rules:
+        rows = rule.score(panel).filter(F.col("entry_ok") & F.col("score").isNotNull()).select(F.lit(rule.name).alias("rule"), "date", "symbol", "score")
+        out = rows if out is None else out.unionByName(rows)
+    return top_n(out, n, ["rule", "date"])
+
+
 def grid_returns(scored: DataFrame, cells: DataFrame, most: int) -> DataFrame:
     """Every (n, step) cell of a small grid in one pass: rank once, explode the cells a row belongs to.
 

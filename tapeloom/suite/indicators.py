@@ -150,3 +150,10 @@ def _(spark, sf):
     p = src.panel(spark, sf).select("symbol", "session_no", "close")
     full = ind.realised_vol(ind.bollinger(ind.rsi(p)), 20, 52)
     return out(full, "rsi", "bb_mid", "bb_upper", "bb_lower", "realised_vol", digits=6)
+
+
+@query("grouped_scan_udf", f"WITH {q.PANEL}, a AS (SELECT symbol, session_no, {fold('close', '(2.0::DOUBLE/6)', 1, 'panel', 'fast')}, {fold('close', '(2.0::DOUBLE/21)', 20, 'panel', 'slow')} FROM panel) SELECT symbol, session_no, round(fast, 6) AS fast, round(slow, 6) AS slow FROM a")
+def _(spark, sf):
+    """Two recursions in one grouped scan."""
+    p = src.panel(spark, sf).select("symbol", "session_no", "close")
+    return out(ind.recursive_means(p, ["symbol"], "session_no", {"fast": ("close", 2 / 6, 1), "slow": ("close", 2 / 21, 20)}), "fast", "slow")

@@ -311,3 +311,14 @@ def _(spark, sf):
 def _(spark, sf):
     c = oc.cost_model(src.trades(spark, sf), COSTS)
     return c.select("trade_id", *[fixed(F.col(x), 9).alias(x) for x in ("statutory", "slippage", "round_trip")])
+
+
+@query("signal_rule", f"""WITH {RR} SELECT symbol, bar_ts, 'long' AS side, entry, {rs('entry*0.99')} AS stop, {rs('entry*1.02')} AS target, CAST(0.5 AS DOUBLE) AS confidence FROM rr
+WHERE family='trend' AND n>=3 AND close>vwap AND close>open""")
+def _(spark, sf):
+    """A rule written by a user: buy an up bar above the session average."""
+    entry = cal.round_tick(F.col("close"))
+    signal = F.struct(F.lit("long").alias("side"), entry.alias("entry"), cal.round_tick(entry * 0.99).alias("stop"), cal.round_tick(entry * 1.02).alias("target"),
+                      F.lit("UpBar").alias("strategy"), F.lit(0.5).alias("confidence"))
+    rule = idy.Rule("UpBar", lambda: [idy.Setup((F.col("close") > F.col("vwap")) & (F.col("close") > F.col("open")), signal)], ("trend",))
+    return show(rule_rows(spark, sf).transform(rule.generate))

@@ -234,3 +234,14 @@ def _(spark, sf):
     g = xs.grid_returns(scored(spark, sf), _cells(spark, PHASES), 20)
     s = g.agg(F.max("total_pct") - F.min("total_pct"))
     return g.select("phase", "sessions", fixed(F.col("total_pct"), 4).alias("total_pct"), fixed(s.scalar(), 4).alias("spread_pp"))
+
+
+@query("ranking_rule", f"""WITH {CLE}, r1 AS (SELECT 'regression' AS rule, date, symbol, score FROM cl WHERE entry_ok AND score IS NOT NULL),
+r2 AS (SELECT 'skip_momentum' AS rule, p.date, p.symbol, a.close/b.close-1 AS score FROM panel p JOIN panel a ON a.symbol=p.symbol AND a.session_no=p.session_no-4 JOIN panel b ON b.symbol=p.symbol AND b.session_no=p.session_no-52 WHERE p.close>=600)
+SELECT rule, date, symbol, row_number() OVER (PARTITION BY rule, date ORDER BY score DESC, symbol) AS rank FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) QUALIFY rank<=5""")
+def _(spark, sf):
+    from tapeloom.functions import indicators as ind
+    ok = (F.col("close") >= 600).alias("investable")
+    rules = [xs.RankingRule("regression", lambda p: xs.clenow_investable(p, RULES)),
+             xs.RankingRule("skip_momentum", lambda p: p.select("symbol", "date", ind.momentum(52, 4).alias("score"), ok, ok.alias("entry_ok")))]
+    return xs.rank_with(rules, src.panel(spark, sf), 5).select("rule", "date", "symbol", F.col("rank").cast("long").alias("rank"))

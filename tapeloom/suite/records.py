@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.functions.frames import fixed
+from tapeloom.functions.frames import beside, fixed
 from tapeloom.operators import records as rc
 from tapeloom.sources import archive
 from tapeloom.sources import tables as src
@@ -183,7 +183,8 @@ def _(spark, sf):
     c = rc.record_fingerprint(s.withColumn("trades", F.when(F.col("wins") == 0, F.col("trades") + 1).otherwise(F.col("trades"))), cols)
     same = rc.record_drift(a.drop("net"), b.drop("net")).select(F.col("matches").alias("same_as_reordered"))
     other = rc.record_drift(a.drop("net"), c.drop("net")).select(F.col("matches").alias("same_as_changed"))
-    return a.select("rows", "trades", "first", "last", fixed(F.col("net"), 4).alias("net")).crossJoin(same).crossJoin(other)
+    out = a.select("rows", "trades", "first", "last", fixed(F.col("net"), 4).alias("net"))
+    return beside(beside(out, same), other)
 
 
 @query("generated_vs_stored", f"""WITH {NET}, g AS (SELECT strategy, reason, count(*) AS trades FROM net GROUP BY ALL), s AS (SELECT strategy, reason, count(*)+CAST(reason='stop' AS INT) AS trades FROM net GROUP BY strategy, reason)

@@ -256,3 +256,11 @@ def _(spark, sf):
 @query("cross_section_per_day", f"WITH {q.WBARS} SELECT date, count(close) AS names FROM wbars GROUP BY 1")
 def _(spark, sf):
     return st.cross_section_per_day(src.weekly_bars(spark, sf))
+
+
+@query("evaluator_hook", f"""WITH {REB}, pk AS (SELECT e.session_no, f.close/e.close-1 AS fwd FROM elig e JOIN reb USING (session_no) LEFT JOIN panel f ON f.symbol=e.symbol AND f.session_no=e.session_no+4
+ WHERE eligible QUALIFY row_number() OVER (PARTITION BY e.session_no ORDER BY e.score DESC, e.symbol)<=10), m AS (SELECT session_no, avg(fwd) AS ret FROM pk GROUP BY 1)
+SELECT 0 AS trial, round(100*(exp(sum(ln(1+coalesce(ret, 0))))-1), 4) AS total_pct FROM m""")
+def _(spark, sf):
+    """The random-trial evaluator run with the strategy's own score."""
+    return st.random_null(scored(spark, sf), 10, 4, 1, F.col("score")).withColumn("total_pct", fixed(F.col("total_pct"), 4))

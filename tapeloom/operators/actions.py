@@ -18,14 +18,13 @@ FACE_BARE = r"(?i)(\d+(?:\.\d+)?)\s*(?:/-)?\s*to\s*(\d+(?:\.\d+)?)"
 TOLERANCE = 0.25
 
 
-def parse_action_factor(df: DataFrame, text: str = "subject") -> DataFrame:
-    """Price factor and wording found in each announcement; both null/blank when nothing is priceable."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def _parse(texts: DataFrame, text: str) -> DataFrame:
+    t = F.col(text)
 
     def number(pattern: str, i: int):
         return F.nullif(F.regexp_extract(t, pattern, i), F.lit(""))
 
-    step = df.withColumns({
+    step = texts.withColumns({
         "_a": number(BONUS, 1), "_b": number(BONUS, 2),
         "_old": F.when(t.rlike(IS_SPLIT), F.coalesce(number(FACE_PAIR, 1), number(FACE_BARE, 1))),
         "_new": F.when(t.rlike(IS_SPLIT), F.coalesce(number(FACE_PAIR, 2), number(FACE_BARE, 2)))})
@@ -36,7 +35,16 @@ def parse_action_factor(df: DataFrame, text: str = "subject") -> DataFrame:
                        F.when(is_split, F.concat(F.lit("split "), "_old", F.lit("->"), "_new")))
     factor = F.when(bonus.isNotNull() | split.isNotNull(),
                     F.coalesce(bonus, F.lit(1.0)) * F.coalesce(split, F.lit(1.0)))
-    return step.withColumns({"factor": factor, "kind": kind}).drop("_a", "_b", "_old", "_new")
+    return step.select(text, factor.alias("factor"), kind.alias("kind"))
+
+
+def parse_action_factor(df: DataFrame, text: str = "subject") -> DataFrame:
+    """Price factor and wording found in each announcement; null and blank when nothing is priceable.
+
+    Announcements repeat their wording, so the patterns run once per distinct text.
+    """
+    parsed = _parse(df.filter(F.col(text).isNotNull()).select(text).distinct(), text)
+    return df.join(parsed, text, "left").select(*df.columns, "factor", F.coalesce("kind", F.lit("")).alias("kind"))
 
 
 def actions_tidy(raw: DataFrame) -> DataFrame:

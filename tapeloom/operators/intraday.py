@@ -177,10 +177,24 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 @dataclass(frozen=True)
 class Setup:
-    """One side of a rule: when it holds and the signal it proposes, both as columns over the feature rows."""
+    """One side of a rule: when it holds, its stop from the entry, its target from entry and stop, its confidence.
 
-    holds: Column
-    signal: Column
+    Prices are put on the tick grid by the registry; ``beyond`` asks that the target lies past the entry.
+    """
+
+    side: str
+    cond: Column
+    stop: Callable[[Column], Column]
+    target: Callable[[Column, Column], Column]
+    confidence: Column
+    most: float = MAX_STOP_FRACTION
+    beyond: bool = False
+
+    def holds(self, entry: Column, stop: Column, target: Column) -> Column:
+        ok = self.cond & (F.col("allows_long") if self.side == LONG else F.col("allows_short")) & stop_is_sane(entry, stop, self.most)
+        if self.beyond:
+            ok = ok & ((target > entry) if self.side == LONG else (target < entry))
+        return F.coalesce(ok & signal_validity(F.lit(self.side), entry, stop, target), F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -216,30 +230,27 @@ class RuleRegistry:
         return [r for r in self.rules.values() if family in r.families]
 
     def run(self, features: DataFrame) -> DataFrame:
-        """Signals of all rules in one pass over the features; ``rule_no`` is the registration order."""
+        """Signals of all rules in one pass over the features; ``rule_no`` is the registration order.
+
+        Entry, stops and targets are columns of their own stages, so no price expression is evaluated twice.
+        """
+        setups = [(no, rule, s) for no, rule in enumerate(self.rules.values()) for s in rule.setups()]
+        e = F.col("_entry")
+        rows = features.withColumn("_entry", round_tick(F.col("close")))
+        rows = rows.withColumns({f"_stop{i}": round_tick(clamp_stop(e, s.stop(e), s.side)) for i, (_, _, s) in enumerate(setups)})
+        rows = rows.withColumns({f"_goal{i}": round_tick(s.target(e, F.col(f"_stop{i}"))) for i, (_, _, s) in enumerate(setups)})
         found = []
-        for no, rule in enumerate(self.rules.values()):
-            found += [F.when(rule.ready() & s.holds, F.struct(s.signal.alias("s"), F.lit(no).alias("rule_no"))) for s in rule.setups()]
-        rows = features.select("symbol", "trade_date", "bar_ts", F.explode(F.array_compact(F.array(*found))).alias("x"))
-        return rows.select("symbol", "trade_date", "bar_ts", "x.s.*", "x.rule_no")
-
-
-def _setup(name: str, side: str, most: float, beyond: bool, cond: Column, stop: Callable[[Column], Column],
-           target: Callable[[Column, Column], Column], confidence: Column) -> Setup:
-    """Price a setup on the tick grid; ``beyond``: the target must lie past the entry."""
-    entry = round_tick(F.col("close"))
-    level = round_tick(clamp_stop(entry, stop(entry), side))
-    goal = round_tick(target(entry, level))
-    ok = cond & (F.col("allows_long") if side == LONG else F.col("allows_short")) & stop_is_sane(entry, level, most)
-    if beyond:
-        ok = ok & ((goal > entry) if side == LONG else (goal < entry))
-    signal = F.struct(F.lit(side).alias("side"), entry.alias("entry"), level.alias("stop"), goal.alias("target"),
-                      F.lit(name).alias("strategy"), confidence.alias("confidence"))
-    return Setup(F.coalesce(ok & signal_validity(F.lit(side), entry, level, goal), F.lit(False)), signal)
+        for i, (no, rule, s) in enumerate(setups):
+            stop, goal = F.col(f"_stop{i}"), F.col(f"_goal{i}")
+            signal = F.struct(F.lit(s.side).alias("side"), e.alias("entry"), stop.alias("stop"), goal.alias("target"),
+                              F.lit(rule.name).alias("strategy"), s.confidence.alias("confidence"), F.lit(no).alias("rule_no"))
+            found.append(F.when(rule.ready() & s.holds(e, stop, goal), signal))
+        out = rows.select("symbol", "trade_date", "bar_ts", F.explode(F.array_compact(F.array(*found))).alias("x"))
+        return out.select("symbol", "trade_date", "bar_ts", "x.*")
 
 
-def _both(name: str, most: float, long: dict, short: dict, beyond: bool = False) -> list[Setup]:
-    return [_setup(name, LONG, most, beyond, **long), _setup(name, SHORT, most, beyond, **short)]
+def _both(most: float, long: dict, short: dict, beyond: bool = False) -> list[Setup]:
+    return [Setup(LONG, most=most, beyond=beyond, **long), Setup(SHORT, most=most, beyond=beyond, **short)]
 
 
 def _r_multiple(r: float, side: str):
@@ -260,7 +271,7 @@ def opening_range_rule(times: SessionTimes, most: float = MAX_STOP_FRACTION, min
         def conf(side: int) -> Column:
             c = F.least(0.35 + 0.15 * (F.col("rel_volume") - min_rel_volume), F.lit(0.75))
             return clip(c + F.when(F.col("direction") == side, 0.15).when(F.col("direction") == -side, -0.10).otherwise(0.0), 0.05, 0.95)
-        return _both(name, most,
+        return _both(most,
                      {"cond": base & (F.col("close") > F.col("or_high") + pad), "stop": lambda e: F.least("or_low", "session_low"),
                       "target": _r_multiple(target_r, LONG), "confidence": conf(1)},
                      {"cond": base & (F.col("close") < F.col("or_low") - pad), "stop": lambda e: F.greatest("or_high", "session_high"),
@@ -280,7 +291,7 @@ def vwap_pullback_rule(most: float = MAX_STOP_FRACTION, min_side: float = 0.65,
 
         def conf(frac: Column) -> Column:
             return clip(0.25 + 0.55 * (frac - min_side) / max(1 - min_side, 1e-9) + 0.15 * (1.0 - F.least(dist / max(touch, 1e-9), F.lit(1.0))), 0.05, 0.90)
-        return _both(name, most,
+        return _both(most,
                      {"cond": near & (up >= min_side) & (F.col("close") > F.col("open")), "stop": lambda e: F.least(F.col("leg_low"), e - stop_atr * F.col("atr")),
                       "target": _r_multiple(target_r, LONG), "confidence": conf(up)},
                      {"cond": near & (down >= min_side) & (F.col("close") < F.col("open")), "stop": lambda e: F.greatest(F.col("leg_high"), e + stop_atr * F.col("atr")),
@@ -298,7 +309,7 @@ def momentum_burst_rule(most: float = MAX_STOP_FRACTION, range_mult: float = 1.8
         span = F.greatest(F.col("session_high") - F.col("session_low"), F.lit(1e-9))
         conf = 0.30 + 0.10 * (F.col("range_ratio") - range_mult) + 0.08 * (F.col("rel_volume") - volume_mult)
         conf = clip(conf - F.when(F.col("family") == "volatile", 0.15).otherwise(0.0), 0.05, 0.90)
-        return _both(name, most,
+        return _both(most,
                      {"cond": base & (F.col("close") > F.col("open")) & ((F.col("session_high") - F.col("close")) / span <= tolerance),
                       "stop": lambda e: F.least(F.col("low"), e - stop_atr * F.col("atr")), "target": _r_multiple(target_r, LONG), "confidence": conf},
                      {"cond": base & (F.col("close") < F.col("open")) & ((F.col("close") - F.col("session_low")) / span <= tolerance),
@@ -320,7 +331,7 @@ def vwap_reversion_rule(times: SessionTimes, most: float = MAX_STOP_FRACTION, en
         def conf(rej: Column) -> Column:
             return clip(0.30 + 0.12 * (F.abs(ext) - entry_atr) + 0.30 * rej, 0.05, 0.90)
         goal = lambda e, s: F.col("vwap")
-        return _both(name, most,
+        return _both(most,
                      {"cond": base & (ext <= -entry_atr) & (low_rej >= min_reject), "stop": lambda e: F.least(F.col("low"), e - stop_atr * F.col("atr")),
                       "target": goal, "confidence": conf(low_rej)},
                      {"cond": base & (ext >= entry_atr) & (high_rej >= min_reject), "stop": lambda e: F.greatest(F.col("high"), e + stop_atr * F.col("atr")),
@@ -341,7 +352,7 @@ def gap_fade_rule(most: float = MAX_STOP_FRACTION, min_gap: float = 0.75, max_ga
         def conf(filled: Column) -> Column:
             return clip(0.45 + 0.30 * F.least(filled, F.lit(1.0)) - 0.10 * F.greatest(size - 1.5, F.lit(0.0)), 0.05, 0.90)
         goal = lambda e, s: F.col("prev_close")
-        return _both(name, most,
+        return _both(most,
                      {"cond": base & (gap < 0) & (F.col("close") > F.col("first_high")) & (up >= min_fill),
                       "stop": lambda e: F.least(F.col("session_low"), e - stop_atr * F.col("atr")), "target": goal, "confidence": conf(up)},
                      {"cond": base & (gap > 0) & (F.col("close") < F.col("first_low")) & (down >= min_fill),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators import intraday as idy
 from tapeloom.operators import outcomes as oc
+from tapeloom.session import settle
 from tapeloom.sources.stores import upsert
 
 
@@ -41,7 +42,8 @@ class SignalSink:
         table = spark.read.parquet(f"{self.folder}/bars").filter(F.col("batch") <= batch_id)
         mine = table.filter(F.col("batch") == batch_id)
         rows = table.join(mine.select("symbol", "trade_date").distinct(), ["symbol", "trade_date"], "left_semi").drop("batch")
-        routed = idy.route_signals(self.registry.run(self.enrich(idy.with_features(rows, self.times))), self.times)
+        rows = settle(rows)
+        routed = settle(idy.route_signals(self.registry.run(self.enrich(idy.with_features(rows, self.times))), self.times))
         keys = mine.select("symbol", "bar_ts")
         routed.join(keys, ["symbol", "bar_ts"], "left_semi").write.mode("overwrite").parquet(f"{self.folder}/signals/batch={batch_id}")
         fills = oc.next_bar_fill(routed, rows, self.slippage_bps)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from tapeloom.functions.frames import fixed
 from tapeloom.operators import calendars as cal
 from tapeloom.operators import intraday as idy
 from tapeloom.operators import outcomes as oc
+from tapeloom.session import settle
 from tapeloom.sources import tables as src
 from tapeloom.suite import sqlparts as q
 from tapeloom.suite.panel import HSESS, SESSION
@@ -37,13 +40,63 @@ ft AS (SELECT *, CASE WHEN n>=14 AND wil>0 THEN wil WHEN n>=2 AND mtr>0 THEN mtr
  len(list_filter(closes, lambda x: x>vwap))/len(closes) AS side_fraction FROM f2)"""
 
 
+class Desk:
+    """The stages of one run; what several stages read is settled once."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf = spark, sf
+
+    @cached_property
+    def hourly(self):
+        return settle(src.hourly_bars(self.spark, self.sf))
+
+    @cached_property
+    def sess(self):
+        return settle(cal.session_split(self.hourly, *SESSION))
+
+    @cached_property
+    def context(self):
+        return settle(idy.asof_strictly_before(idy.daily_from_bars(self.hourly), self.sess))
+
+    @property
+    def features(self):
+        return idy.with_features(self.sess, TIMES)
+
+    @property
+    def rule_rows(self):
+        return regimed(self.features.join(self.context, ["symbol", "trade_date"], "left"))
+
+    @property
+    def signals(self):
+        registry = idy.RuleRegistry()
+        for rule in (R_OPEN, R_PULL, R_BURST, R_REVERT, R_FADE):
+            registry.register(rule)
+        return registry.run(self.rule_rows)
+
+    @property
+    def routed(self):
+        return idy.route_signals(self.signals, TIMES)
+
+    @property
+    def filled(self):
+        return oc.next_bar_fill(self.routed, self.sess, COSTS.slippage_bps)
+
+    @property
+    def sized(self):
+        return oc.size_columns(self.filled.join(self.context, ["symbol", "trade_date"], "left"), SIZES, COSTS.round_trip_rate, "fill_ref")
+
+    @cached_property
+    def closed(self):
+        orders = settle(self.sized.filter("approved"))
+        return oc.first_touch_exit(orders, self.sess, TIMES).withColumn("exit_price", oc.exit_price(COSTS.slippage_bps))
+
+
 def sess(spark, sf):
     return cal.session_split(src.hourly_bars(spark, sf), *SESSION)
 
 
 def context(spark, sf):
-    h = src.hourly_bars(spark, sf)
-    return idy.asof_strictly_before(idy.daily_from_bars(h), cal.session_split(h, *SESSION))
+    return Desk(spark, sf).context
 
 
 def keyed(df, *cols, digits=8):
@@ -116,10 +169,6 @@ def regimed(rows):
     return out.withColumns({"allows_long": F.col("direction") >= 0, "allows_short": F.col("direction") <= 0})
 
 
-def rule_rows(spark, sf):
-    return regimed(features(spark, sf).join(context(spark, sf), ["symbol", "trade_date"], "left"))
-
-
 def rs(expr):
     return f"round(round_even(({expr})/0.05, 0)*0.05, 2)"
 
@@ -181,7 +230,7 @@ R_FADE = idy.gap_fade_rule(MOST, min_gap=0.05, min_fill=0.1)
 def _rule(key, rule):
     @query(key, f"WITH {RR} SELECT {SIGCOLS} FROM ({RULES[rule.name]})")
     def _(spark, sf):
-        return show(rule_rows(spark, sf).transform(rule.generate))
+        return show(Desk(spark, sf).rule_rows.transform(rule.generate))
 
 
 _rule("sig_opening_range", R_OPEN)
@@ -200,32 +249,21 @@ rtd AS (SELECT symbol, trade_date, bar_ts, side, entry, CASE WHEN ok THEN ms ELS
  CASE WHEN ok THEN least(1-miss, 0.95) ELSE b.confidence END AS confidence, rules FROM mv)"""
 
 
-def raw_signals(spark, sf):
-    registry = idy.RuleRegistry()
-    for rule in (R_OPEN, R_PULL, R_BURST, R_REVERT, R_FADE):
-        registry.register(rule)
-    return registry.run(rule_rows(spark, sf))
-
-
-def routed(spark, sf):
-    return idy.route_signals(raw_signals(spark, sf), TIMES)
-
-
 @query("rule_registry", f"WITH {SIG} SELECT {SIGCOLS}, strategy FROM sig")
 def _(spark, sf):
-    return show(raw_signals(spark, sf), "strategy")
+    return show(Desk(spark, sf).signals, "strategy")
 
 
 @query("route_signals", f"WITH {SIG} SELECT {SIGCOLS}, strategy, rules FROM rtd")
 def _(spark, sf):
-    return show(routed(spark, sf), "strategy", "rules")
+    return show(Desk(spark, sf).routed, "strategy", "rules")
 
 
 @query("signal_validity", f"""WITH {SIG}, j AS (SELECT symbol, bar_ts, strategy, side, entry, CASE WHEN extract(hour FROM bar_ts)%3=0 THEN entry*2 WHEN extract(hour FROM bar_ts)%3=1 THEN -stop ELSE stop END AS stop, target FROM sig)
 SELECT symbol, bar_ts, strategy, coalesce(stop>0 AND CASE WHEN side='long' THEN stop<entry AND entry<target ELSE target<entry AND entry<stop END, false) AS valid, round(abs(target-entry)/abs(entry-stop), 8) AS reward_risk FROM j""")
 def _(spark, sf):
     h = F.hour("bar_ts") % 3
-    j = raw_signals(spark, sf).withColumn("stop", F.when(h == 0, F.col("entry") * 2).when(h == 1, -F.col("stop")).otherwise(F.col("stop")))
+    j = Desk(spark, sf).signals.withColumn("stop", F.when(h == 0, F.col("entry") * 2).when(h == 1, -F.col("stop")).otherwise(F.col("stop")))
     return j.select("symbol", "bar_ts", "strategy", idy.signal_validity().alias("valid"), fixed(idy.reward_risk(), 8).alias("reward_risk"))
 
 
@@ -238,7 +276,8 @@ def _(spark, sf):
 
 @query("signals_latest_session", f"WITH {SIG} SELECT {SIGCOLS}, strategy FROM rtd WHERE (symbol, trade_date) IN (SELECT symbol, max(trade_date) FROM sess GROUP BY 1)")
 def _(spark, sf):
-    return show(idy.signals_latest_session(routed(spark, sf), sess(spark, sf)), "strategy")
+    d = Desk(spark, sf)
+    return show(idy.signals_latest_session(d.routed, d.sess), "strategy")
 
 
 FILL = SIG + f""", nb AS (SELECT symbol, trade_date, bar_ts, lead(bar_ts) OVER {S} AS fill_ts, lead(open) OVER {S} AS fill_ref FROM sess),
@@ -246,13 +285,9 @@ fl AS (SELECT r.*, fill_ts, fill_ref, CASE WHEN side='long' THEN fill_ref+fill_r
  WHERE fill_ts IS NOT NULL AND CASE WHEN side='long' THEN stop<fill_ref AND fill_ref<target ELSE target<fill_ref AND fill_ref<stop END)"""
 
 
-def filled(spark, sf):
-    return oc.next_bar_fill(routed(spark, sf), sess(spark, sf), COSTS.slippage_bps)
-
-
 @query("next_bar_fill", f"WITH {FILL} SELECT symbol, bar_ts, side, fill_ts, fill_ref, round(fill_price, 8) AS fill_price FROM fl")
 def _(spark, sf):
-    return filled(spark, sf).select("symbol", "bar_ts", "side", "fill_ts", "fill_ref", fixed(F.col("fill_price"), 8).alias("fill_price"))
+    return Desk(spark, sf).filled.select("symbol", "bar_ts", "side", "fill_ts", "fill_ref", fixed(F.col("fill_price"), 8).alias("fill_price"))
 
 
 SIZE = FILL + """, sz0 AS (SELECT f.*, floor(200/(abs(fill_ref-stop)+fill_ref*0.00246)) AS q1, floor(36000/fill_ref) AS q2, CASE WHEN median_volume>0 THEN floor(median_volume*5) END AS q3 FROM fl f LEFT JOIN ctx USING (symbol, trade_date)),
@@ -260,14 +295,9 @@ sz AS (SELECT *, CAST(greatest(least(q1, q2, q3), 0) AS BIGINT) AS quantity, CAS
 szd AS (SELECT *, CASE WHEN q1<1 THEN 'budget' WHEN quantity<1 THEN 'cap allows none' WHEN quantity*fill_ref<1500 THEN 'below notional floor' ELSE 'ok' END AS decision FROM sz)"""
 
 
-def sized(spark, sf):
-    orders = filled(spark, sf).join(context(spark, sf), ["symbol", "trade_date"], "left")
-    return oc.size_columns(orders, SIZES, COSTS.round_trip_rate, "fill_ref")
-
-
 @query("size_columns", f"WITH {SIZE} SELECT symbol, bar_ts, quantity, binding_cap, decision FROM szd")
 def _(spark, sf):
-    return sized(spark, sf).select("symbol", "bar_ts", "quantity", "binding_cap", "decision")
+    return Desk(spark, sf).sized.select("symbol", "bar_ts", "quantity", "binding_cap", "decision")
 
 
 EXIT = SIZE + """, en AS (SELECT symbol, trade_date, bar_ts AS exit_ts, high, low, close, strftime(bar_ts, '%H:%M')>='21:00' OR bar_ts=max(bar_ts) OVER (PARTITION BY symbol, trade_date) AS fin FROM sess),
@@ -278,33 +308,29 @@ cd0 AS (SELECT s.*, exit_ts, reason, exit_ref, CASE WHEN side='long' THEN exit_r
 cd AS (SELECT *, sgn*(exit_price-fill_price)*quantity AS gross_pnl, (exit_price+fill_price)*quantity*14.6/2e4 AS costs FROM cd0)"""
 
 
-def closed(spark, sf):
-    x = oc.first_touch_exit(sized(spark, sf).filter("approved"), sess(spark, sf), TIMES)
-    return x.withColumn("exit_price", oc.exit_price(COSTS.slippage_bps))
-
-
 @query("first_touch_exit", f"WITH {EXIT} SELECT symbol, bar_ts, exit_ts, reason, exit_ref FROM cd")
 def _(spark, sf):
-    return closed(spark, sf).select("symbol", "bar_ts", "exit_ts", "reason", "exit_ref")
+    return Desk(spark, sf).closed.select("symbol", "bar_ts", "exit_ts", "reason", "exit_ref")
 
 
 @query("trade_pnl", f"WITH {EXIT} SELECT symbol, bar_ts, round(gross_pnl, 6)+0.0 AS gross_pnl, round(costs, 6) AS costs, round(gross_pnl-costs, 6)+0.0 AS net_pnl, gross_pnl-costs>0 AS win FROM cd")
 def _(spark, sf):
-    t = oc.trade_pnl(closed(spark, sf), COSTS)
+    t = oc.trade_pnl(Desk(spark, sf).closed, COSTS)
     return t.select("symbol", "bar_ts", *[fixed(F.col(c)).alias(c) for c in ("gross_pnl", "costs", "net_pnl")], "win")
 
 
 @query("slippage_measure", f"""WITH {EXIT} SELECT trade_date, round(sum((fill_ref+exit_ref)*quantity*5.0/1e4), 6) AS modelled_slippage,
 round(sum(sgn*(fill_price-entry)*quantity+abs(exit_price-exit_ref)*quantity), 6)+0.0 AS observed_slippage, 'market' AS slippage_source FROM cd GROUP BY 1""")
 def _(spark, sf):
-    m = oc.slippage_measure(closed(spark, sf), COSTS.slippage_bps)
+    m = oc.slippage_measure(Desk(spark, sf).closed, COSTS.slippage_bps)
     return m.select("trade_date", fixed(F.col("modelled_slippage")).alias("modelled_slippage"), fixed(F.col("observed_slippage")).alias("observed_slippage"), "slippage_source")
 
 
 @query("excursion", f"""WITH {EXIT} SELECT c.symbol, c.bar_ts, round(CASE WHEN any_value(side)='long' THEN greatest(any_value(fill_price), max(b.high)) ELSE least(any_value(fill_price), min(b.low)) END, 8) AS best_price
 FROM cd c LEFT JOIN sess b ON b.symbol=c.symbol AND b.trade_date=c.trade_date AND b.bar_ts>c.fill_ts AND b.bar_ts<=c.exit_ts GROUP BY 1, 2""")
 def _(spark, sf):
-    return oc.excursion(closed(spark, sf), sess(spark, sf)).select("symbol", "bar_ts", fixed(F.col("best_price"), 8).alias("best_price"))
+    d = Desk(spark, sf)
+    return oc.excursion(d.closed, d.sess).select("symbol", "bar_ts", fixed(F.col("best_price"), 8).alias("best_price"))
 
 
 @query("cost_model", f"WITH {q.TRADES} SELECT trade_id, round(entry_price*quantity*14.6/1e4, 9) AS statutory, round(entry_price*quantity*10.0/1e4, 9) AS slippage, round(entry_price*quantity*24.6/1e4, 9) AS round_trip FROM trades")
@@ -314,11 +340,9 @@ def _(spark, sf):
 
 
 @query("signal_rule", f"""WITH {RR} SELECT symbol, bar_ts, 'long' AS side, entry, {rs('entry*0.99')} AS stop, {rs('entry*1.02')} AS target, CAST(0.5 AS DOUBLE) AS confidence FROM rr
-WHERE family='trend' AND n>=3 AND close>vwap AND close>open""")
+WHERE family='trend' AND n>=3 AND direction>=0 AND close>vwap AND close>open""")
 def _(spark, sf):
     """A rule written by a user: buy an up bar above the session average."""
-    entry = cal.round_tick(F.col("close"))
-    signal = F.struct(F.lit("long").alias("side"), entry.alias("entry"), cal.round_tick(entry * 0.99).alias("stop"), cal.round_tick(entry * 1.02).alias("target"),
-                      F.lit("UpBar").alias("strategy"), F.lit(0.5).alias("confidence"))
-    rule = idy.Rule("UpBar", lambda: [idy.Setup((F.col("close") > F.col("vwap")) & (F.col("close") > F.col("open")), signal)], ("trend",))
-    return show(rule_rows(spark, sf).transform(rule.generate))
+    up = idy.Setup("long", (F.col("close") > F.col("vwap")) & (F.col("close") > F.col("open")), lambda e: e * 0.99, lambda e, stop: e * 1.02, F.lit(0.5))
+    rule = idy.Rule("UpBar", lambda: [up], ("trend",))
+    return show(Desk(spark, sf).rule_rows.transform(rule.generate))

@@ -201,7 +201,7 @@ def bollinger(df: DataFrame, length: int = 20, width: float = 2.0) -> DataFrame:
 
 
 def realised_vol(df: DataFrame, length: int = 20, per_year: int = SESSIONS_PER_YEAR, name: str = "realised_vol") -> DataFrame:
-    step = df.withColumn("_lr", F.log(F.col("close") / F.lag("close").over(own())))
+    step = df.withColumn("_lr", F.log(ratio(F.col("close"), F.lag("close").over(own()))))
     frame = own().rowsBetween(-(length - 1), 0)
     vol = F.stddev_samp("_lr").over(frame) * F.sqrt(F.lit(float(per_year)))
     return step.withColumn(name, F.when(F.count("_lr").over(frame) >= length, vol)).drop("_lr")

@@ -167,7 +167,7 @@ def fold_report(scores: DataFrame) -> DataFrame:
     dev, hold = F.col("fold") > 0, F.col("fold") == 0
     ic = F.when(dev, F.col("ic"))
     n = F.count(ic)
-    return scores.agg(n.alias("folds"), F.avg(ic).alias("mean_ic"), F.when(n >= 2, F.avg(ic) / (F.stddev_samp(ic) / F.sqrt(n))).alias("ic_t"),
+    return scores.agg(n.alias("folds"), F.avg(ic).alias("mean_ic"), F.when(n >= 2, ratio(F.avg(ic), F.stddev_samp(ic) / F.sqrt(n))).alias("ic_t"),
                       F.avg(F.when(dev, F.col("spread"))).alias("mean_spread"), F.max(F.when(hold, F.col("ic"))).alias("holdout_ic"), F.max(F.when(hold, F.col("spread"))).alias("holdout_spread"))
 
 

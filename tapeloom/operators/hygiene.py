@@ -44,7 +44,7 @@ def jump_report(panel: DataFrame, key: str = "symbol", down: float = JUMP_DOWN,
 def bad_prints(bars: DataFrame, move: float = 0.15, reversion: float = 0.60) -> DataFrame:
     """Flag bars whose move is undone by the next printed bar."""
     w = Window.partitionBy("symbol").orderBy("date")
-    r = F.col("close") / F.lag("close").over(w) - 1
+    r = ratio(F.col("close"), F.lag("close").over(w)) - 1
     step = bars.withColumn("_r", r)
     nxt = F.lead("_r").over(w)
     bad = (F.abs("_r") > move) & (F.col("_r") * nxt < 0) & (F.abs(nxt) > reversion * F.abs("_r"))
@@ -64,7 +64,7 @@ def split_detect(bars: DataFrame, floor: float = 0.35, near: float = 0.05, open_
     documented limit."""
     w = Window.partitionBy("symbol").orderBy("date")
     prev, nxt = F.lag("close").over(w), F.lead("close").over(w)
-    step = bars.withColumns({"_obs": F.col("close") / prev, "_open": F.col("open") / prev, "_stay": nxt / F.col("close")})
+    step = bars.withColumns({"_obs": ratio(F.col("close"), prev), "_open": ratio(F.col("open"), prev), "_stay": ratio(nxt, F.col("close"))})
     step = step.withColumn("_before", F.lag("_obs").over(w))
     table = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(k).alias("label")) for k, v in SIMPLE_RATIOS.items()])
     gaps = F.transform(table, lambda t: F.struct((F.abs(F.col("_obs") / t["value"] - 1)).alias("gap"),

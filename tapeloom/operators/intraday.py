@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeloom.functions import indicators as ind
-from tapeloom.functions.frames import finite, median_of
+from tapeloom.functions.frames import finite, median_of, ratio
 from tapeloom.operators.calendars import round_tick
 
 LONG, SHORT = "long", "short"
@@ -139,13 +139,13 @@ def with_features(bars: DataFrame, times: SessionTimes) -> DataFrame:
 
 def clamp_stop(entry: Column, stop: Column, side: str) -> Column:
     """Push a stop inside the noise out to the minimum distance."""
-    far = F.abs(entry - stop) / entry >= MIN_STOP_FRACTION
+    far = ratio(F.abs(entry - stop), entry) >= MIN_STOP_FRACTION
     edge = entry - entry * MIN_STOP_FRACTION if side == LONG else entry + entry * MIN_STOP_FRACTION
     return F.when(far, stop).otherwise(edge)
 
 
 def stop_is_sane(entry: Column, stop: Column, most: float = MAX_STOP_FRACTION) -> Column:
-    return (F.abs(entry - stop) / entry).between(MIN_STOP_FRACTION, most)
+    return ratio(F.abs(entry - stop), entry).between(MIN_STOP_FRACTION, most)
 
 
 def signal_validity(side: Column | None = None, entry: Column | None = None, stop: Column | None = None,

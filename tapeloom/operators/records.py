@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.functions.frames import beside
+from tapeloom.functions.frames import beside, ratio
 from tapeloom.functions.indicators import drawdown_curve
 from tapeloom.operators.statistics import DAYS_PER_YEAR
 from tapeloom.plans import ordered
@@ -56,7 +56,7 @@ def regime_attribution(sessions: DataFrame) -> DataFrame:
 def cost_drag(trades: DataFrame) -> DataFrame:
     notional = F.avg(F.col("quantity") * F.col("entry_price"))
     return trades.agg(F.avg("costs").alias("mean_cost"), notional.alias("mean_notional"),
-                      (F.avg("costs") / notional * 1e4).alias("cost_bps"),
+                      (ratio(F.avg("costs"), notional) * 1e4).alias("cost_bps"),
                       (F.sum("costs") / F.nullif(F.sum(F.abs("gross_pnl")), F.lit(0.0))).alias("cost_share"))
 
 
@@ -235,13 +235,13 @@ def swing_summary(trades: DataFrame, equity: DataFrame, capital: float, benchmar
     Exposure: sessions with trades ÷ weekdays of the span.
     """
     w = Window.partitionBy(F.lit(1)).orderBy("trade_date")
-    curve = drawdown_curve(equity.withColumn("_one", F.lit(1)), "equity", ["_one"], "trade_date").withColumn("_r", F.col("equity") / F.lag("equity").over(w) - 1)
+    curve = drawdown_curve(equity.withColumn("_one", F.lit(1)), "equity", ["_one"], "trade_date").withColumn("_r", ratio(F.col("equity"), F.lag("equity").over(w)) - 1)
     c = curve.agg(F.max_by("equity", "trade_date").alias("final_equity"), (F.datediff(F.max("trade_date"), F.min("trade_date")) / DAYS_PER_YEAR).alias("years"),
                   F.min("trade_date").alias("_d0"), F.max("trade_date").alias("_d1"), F.count(F.lit(1)).alias("sessions"),
-                  (100 * F.min("drawdown")).alias("max_drawdown_pct"), (F.avg("_r") / F.stddev_samp("_r") * F.sqrt(F.lit(float(per_year)))).alias("sharpe"))
+                  (100 * F.min("drawdown")).alias("max_drawdown_pct"), (ratio(F.avg("_r"), F.stddev_samp("_r")) * F.sqrt(F.lit(float(per_year)))).alias("sharpe"))
     t = trades.agg(F.count(F.lit(1)).alias("trades"), F.sum("net_pnl").alias("net"), (100 * F.avg((F.col("net_pnl") > 0).cast("double"))).alias("win_rate_pct"),
                    profit_factor().alias("profit_factor"), F.avg((F.col("close_min") - F.col("open_min")) / 1440).alias("avg_hold_days"),
-                   (F.max("net_pnl") / F.sum(F.greatest("net_pnl", F.lit(0.0)))).alias("top_trade_share"))
+                   ratio(F.max("net_pnl"), F.sum(F.greatest("net_pnl", F.lit(0.0)))).alias("top_trade_share"))
     days = F.size(F.filter(F.sequence("_d0", "_d1"), lambda d: F.weekday(d) < 5))
     ret = 100 * (F.col("final_equity") / capital - 1)
     growth = F.when(F.col("final_equity") > 0, 100 * (F.pow(F.col("final_equity") / capital, 1 / F.col("years")) - 1))

@@ -159,7 +159,7 @@ def series_align(a: DataFrame, b: DataFrame, order: str = "date", keys: Sequence
     both = (a.filter(F.col("value").isNotNull()).select(*keys, order, F.col("value").alias("_a"))
             .join(b.filter(F.col("value").isNotNull()).select(*keys, order, F.col("value").alias("_b")), [*keys, order]))
     w = Window.partitionBy(*(list(keys) or [F.lit(1)])).orderBy(order)
-    r = both.select(*keys, order, (F.col("_a") / F.lag("_a").over(w) - 1).alias("rs"), (F.col("_b") / F.lag("_b").over(w) - 1).alias("rb"))
+    r = both.select(*keys, order, (ratio(F.col("_a"), F.lag("_a").over(w)) - 1).alias("rs"), (ratio(F.col("_b"), F.lag("_b").over(w)) - 1).alias("rb"))
     return r.filter(F.col("rs").isNotNull() & F.col("rb").isNotNull())
 
 
@@ -219,7 +219,7 @@ def equal_weight_curve(panel: DataFrame, eligible_only: bool = False) -> DataFra
 def buy_and_hold(prices: DataFrame, capital: float, entry_drag: float, exit_drag: float, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Bought at the first close, sold at the last, a cost fraction on both legs."""
     whole = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    curve = capital * (1 - entry_drag) * F.col("close") / F.first("close").over(whole)
+    curve = capital * (1 - entry_drag) * ratio(F.col("close"), F.first("close").over(whole))
     last = F.col("date") == F.last("date").over(whole)
     return prices.filter(F.col("close").isNotNull()).select(
         *keys, "date", F.when(last, curve * (1 - exit_drag)).otherwise(curve).alias("value"))
@@ -246,20 +246,20 @@ def benchmark_reindex(dates: DataFrame, bench: DataFrame) -> DataFrame:
 def beta_matched(bench: DataFrame, beta: Column) -> DataFrame:
     """Benchmark returns levered to a beta and compounded."""
     w = Window.orderBy("session_no")
-    r = F.coalesce(F.col("value") / F.lag("value").over(w) - 1, F.lit(0.0))
+    r = F.coalesce(ratio(F.col("value"), F.lag("value").over(w)) - 1, F.lit(0.0))
     return xs.compound(bench.withColumn("ret", beta * r), "ret", "value").select("session_no", "date", "value")
 
 
 def leg_stats(curves: DataFrame, keys: Sequence[str] = ("series_id",), per_year: int = PER_YEAR) -> DataFrame:
     """Total, CAGR, Sharpe (mean ÷ sd of simple returns, annualised), worst drawdown and final value per curve."""
     w = Window.partitionBy(*keys).orderBy("date")
-    r = drawdown_curve(curves.filter(F.col("value").isNotNull()), "value", keys, "date").withColumn("_r", F.col("value") / F.lag("value").over(w) - 1)
+    r = drawdown_curve(curves.filter(F.col("value").isNotNull()), "value", keys, "date").withColumn("_r", ratio(F.col("value"), F.lag("value").over(w)) - 1)
     a = r.groupBy(*keys).agg(
         F.min_by("value", "date").alias("_v0"), F.max_by("value", "date").alias("final_value"),
         (F.datediff(F.max("date"), F.min("date")) / DAYS_PER_YEAR).alias("_y"), F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_s"),
         (100 * F.min("drawdown")).alias("max_drawdown_pct"))
     years = F.greatest("_y", F.lit(1e-9))
-    total = F.col("final_value") / F.col("_v0") - 1
+    total = ratio(F.col("final_value"), F.col("_v0")) - 1
     return a.select(*keys, (100 * total).alias("total_pct"), (100 * (F.pow(1 + total, 1 / years) - 1)).alias("cagr_pct"),
                     F.when(F.col("_s") > 0, F.col("_m") / F.col("_s") * F.sqrt(F.lit(float(per_year)))).alias("sharpe"),
                     "max_drawdown_pct", "final_value")

@@ -169,13 +169,13 @@ def _(spark, sf):
 
 @query("back_adjust", f"""WITH {CHECKED}, st AS (SELECT symbol, ex_date, factor FROM checked WHERE status='confirmed'),
 adj AS (SELECT b.symbol, b.date, product(s.factor) AS adj FROM wbars b JOIN st s ON s.symbol=b.symbol AND s.ex_date>b.date GROUP BY ALL)
-SELECT b.symbol, b.date, round(coalesce(adj,1.0), 8) AS adjustment, round(ln(close*coalesce(adj,1.0)), 9) AS log_close, round(ln(open*coalesce(adj,1.0)), 9) AS log_open, volume
+SELECT b.symbol, b.date, round(ln(coalesce(adj,1.0)), 9)+0.0 AS log_adjustment, round(ln(close*coalesce(adj,1.0)), 9) AS log_close, round(ln(open*coalesce(adj,1.0)), 9) AS log_open, volume
 FROM wbars b LEFT JOIN adj USING (symbol, date)""")
 def _(spark, sf):
     bars = settle(src.weekly_bars(spark, sf))
     checked = act.confirm_actions(_parsed(spark, sf), bars)
     out = act.back_adjust(bars, checked.filter(F.col("status") == "confirmed"))
-    return out.select("symbol", "date", fixed(F.col("adjustment"), 8).alias("adjustment"), fixed(F.log("close"), 9).alias("log_close"),
+    return out.select("symbol", "date", fixed(F.log("adjustment"), 9).alias("log_adjustment"), fixed(F.log("close"), 9).alias("log_close"),
                       fixed(F.log("open"), 9).alias("log_open"), "volume")
 
 

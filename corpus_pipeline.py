@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import language
+from tapeloom.llm import language, quality
 from tapeloom.llm.common import keep
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -26,8 +26,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.keep_identified(docs)
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("language", language_stage),
+    ("quality", quality_stage),
 ]
 
 #: Two stages are trained models and a transducer, which SQL does not express; tests hold each stage against brute force.

@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import language, quality
+from tapeloom.llm import language, neardup, quality
 from tapeloom.llm.common import keep
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,9 +30,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one_of_each(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("language", language_stage),
     ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
 ]
 
 #: Two stages are trained models and a transducer, which SQL does not express; tests hold each stage against brute force.

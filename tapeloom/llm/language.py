@@ -16,9 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.llm.common import chunks, documents, id_crc, joined_bytes, texts_of
 from tapeloom.llm.suite import query
@@ -102,12 +102,13 @@ def mixtures(counts: np.ndarray, logp: np.ndarray, rounds: int, most: int, penal
 def identify(docs: DataFrame, names: list[str], logp: np.ndarray, rounds: int = 8, most: int = 3, penalty: float = 4.0,
              text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys`` with lang_pred (largest proportion of the chosen set), score (that proportion) and langs (the set)."""
-    given = docs.select(*keys, F.col(text).alias("text"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keys).schema.fields)
+    given = docs.select(*keys, F.col(text).alias("_text"))
+    schema = T.StructType([*docs.select(*keys).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                           T.StructField("langs", T.StringType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            texts = texts_of(batch.column("text"))
+        for batch in chunks(batches, "_text"):
+            texts = texts_of(batch.column("_text"))
             preds, scores, sets = [UNKNOWN] * len(texts), np.zeros(len(texts)), [""] * len(texts)
             lettered = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if names else []
             for at in range(0, len(lettered), 256):
@@ -120,7 +121,7 @@ def identify(docs: DataFrame, names: list[str], logp: np.ndarray, rounds: int =
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(preds), pa.array(scores), pa.array(sets)],
                                              names=[*keys, "lang_pred", "score", "langs"])
 
-    return given.mapInArrow(judge, f"{fields}, lang_pred string, score double, langs string")
+    return given.mapInArrow(judge, schema)
 
 
 def teaching(docs: DataFrame) -> DataFrame:
@@ -142,5 +143,5 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows in which one learned language holds at least ``least`` of the text; ``und`` rows go. Columns stay as they are."""
     names, logp = fit(teaching(docs))
-    judged = identify(docs, names, logp, keys=tuple(docs.columns), text="text")
+    judged = identify(docs, names, logp, keys=tuple(docs.columns))
     return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)

@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import language, neardup, quality
+from tapeloom.llm import language, mixture, neardup, quality
 from tapeloom.llm.common import keep
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -34,10 +34,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return neardup.keep_one_of_each(docs)
 
 
+def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixture.materialise(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("language", language_stage),
     ("quality", quality_stage),
     ("near_duplicates", near_duplicate_stage),
+    ("mixture", mixture_stage),
 ]
 
 #: Two stages are trained models and a transducer, which SQL does not express; tests hold each stage against brute force.

@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import language, mixture, neardup, quality
+from tapeloom.llm import language, mixture, neardup, pieces, quality
 from tapeloom.llm.common import keep
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -38,11 +38,16 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return mixture.materialise(docs)
 
 
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode(docs, pieces.model_bytes(), keys=("doc_id", "lang", "source"))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("language", language_stage),
     ("quality", quality_stage),
     ("near_duplicates", near_duplicate_stage),
     ("mixture", mixture_stage),
+    ("encode", encode_stage),
 ]
 
 #: Two stages are trained models and a transducer, which SQL does not express; tests hold each stage against brute force.

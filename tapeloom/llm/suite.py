@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ("quality", "pieces", "neardup", "mixture", "language")
+MODULES = ("quality", "pieces", "neardup", "mixture", "language", "fingerprints")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ("quality", "toxicity", "pieces", "neardup", "mixture", "language", "sharding", "fingerprints")
+MODULES = ("quality", "urls", "toxicity", "pieces", "neardup", "mixture", "language", "sharding", "fingerprints")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -205,6 +205,8 @@ class Transducer:
 
     def paths(self, stretches: list[str]) -> list[bytes]:
         """Ids (int32 bytes) of each stretch: the shortest paths of all their lattices, found together."""
+        if not stretches:
+            return []
         sizes = np.array([len(s) for s in stretches])
         code = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32)
         begin = np.cumsum(sizes) - sizes
@@ -257,8 +259,6 @@ class Transducer:
             node = source[step]
             on = node > first[owner]
             node, owner = node[on], owner[on]
-        if not whose:
-            return []
         whose, what = np.concatenate(whose[::-1]), np.concatenate(what[::-1])
         order = np.argsort(whose, kind="stable")
         whose, what = whose[order], what[order]

@@ -44,6 +44,16 @@ def finite(col: Column) -> Column:
     return col.isNotNull() & ~F.isnan(col) & (F.abs(col) != F.lit(float("inf")))
 
 
+def clean(col: Column) -> Column:
+    """The value, null when it is not a number or not finite. Spark orders NaN above every number, so it passes gates."""
+    return F.when(finite(col), col)
+
+
+def cleaned(df: DataFrame) -> DataFrame:
+    """All fractional columns of a scan without NaN and infinities."""
+    return df.withColumns({f.name: clean(F.col(f.name)) for f in df.schema.fields if f.dataType.typeName() in ("double", "float")})
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """Division that yields null instead of failing or overflowing on a zero denominator."""
     return top / F.nullif(bottom, F.lit(0.0))

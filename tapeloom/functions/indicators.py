@@ -165,15 +165,15 @@ def liquidity_factors(df: DataFrame, p: FactorParams = FactorParams()) -> DataFr
 def compute_factors(bars: DataFrame, p: FactorParams = FactorParams()) -> DataFrame:
     """Factor row per (symbol, date) with enough history and a positive close.
 
-    Every column reads only bars up to the row. All windows share one partitioning and sort.
+    Every column reads only bars up to the row. The recursion runs first, while the frame is narrow; all windows share
+    one partitioning and sort.
     """
     w = own()
-    numbered = bars.withColumn("bars", F.row_number().over(w).cast("long"))
+    numbered = atr_wilder(bars, p.atr).withColumn("bars", F.row_number().over(w).cast("long"))
     cols = liquidity_factors(range_gap_pct(horizon_returns(with_efficiency_ratio(numbered, p.efficiency, "efficiency_ratio"), p), p), p)
     y = F.log(F.when(F.col("close") > 0, F.col("close")))
     sloped = cols.withColumn("slope_r2", slope_r2(y, F.col("bars"), w.rowsBetween(-(p.slope - 1), 0), p.slope, p.per_year))
-    scanned = atr_wilder(sloped, p.atr)
-    ranked = scanned.filter((F.col("bars") >= p.min_bars) & (F.col("close") > 0))
+    ranked = sloped.filter((F.col("bars") >= p.min_bars) & (F.col("close") > 0))
     return ranked.withColumn("atr_pct", F.col("atr") / F.col("close")).drop("true_range", "atr", "open", "high", "low", "volume", "turnover")
 
 

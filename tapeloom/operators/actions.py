@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeloom.functions.frames import ratio
+from tapeloom.session import settle
 
 # The wording of exchange announcements.
 BONUS = r"(?i)bonus[^0-9]{0,8}(\d+)\s*:\s*(\d+)"
@@ -41,17 +42,22 @@ def _parse(texts: DataFrame, text: str) -> DataFrame:
 def parse_action_factor(df: DataFrame, text: str = "subject") -> DataFrame:
     """Price factor and wording found in each announcement; null and blank when nothing is priceable.
 
-    Announcements repeat their wording, so the patterns run once per distinct text.
+    Announcements repeat their wording, so the patterns run once per distinct text; the parsed texts are settled, so
+    that later plans hold no pattern and join them by their measured size.
     """
-    parsed = _parse(df.filter(F.col(text).isNotNull()).select(text).distinct(), text)
+    parsed = settle(_parse(df.filter(F.col(text).isNotNull()).select(text).distinct(), text))
     return df.join(parsed, text, "left").select(*df.columns, "factor", F.coalesce("kind", F.lit("")).alias("kind"))
 
 
 def actions_tidy(raw: DataFrame) -> DataFrame:
-    """Parse ``dd-MMM-yyyy`` dates, drop rows without date or key, one row per (isin, date, subject)."""
+    """Parse ``dd-MMM-yyyy`` dates, drop rows without date or key, one row per (isin, date, subject): the least in its other columns."""
     day = F.try_to_timestamp("ex_date", F.lit("dd-MMM-yyyy")).cast("date")
     rows = raw.withColumn("ex_date", day).filter(F.col("ex_date").isNotNull() & F.col("isin").isNotNull())
-    return rows.dropDuplicates(["isin", "ex_date", "subject"])
+    keys = ["isin", "ex_date", "subject"]
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*").select(*rows.columns)
 
 
 def observed_ratios(prices: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Audit thresholds, severities and the marks that sort log lines.
 STALE_DAYS, WORST_STALE_DAYS, COVERAGE_GAP_DAYS, STALE_UNIVERSE_DAYS, STALE_RECORD_DAYS = 5, 14, 10, 3, 30
 CRORE = 1e7
 SHARES_LOW, SHARES_HIGH = 5e5, 5e10
@@ -15,6 +16,7 @@ CRITICAL, WARN, INFO = "critical", "warning", "info"
 SEVERITY_ORDER = {CRITICAL: 0, WARN: 1, INFO: 2}
 NETWORK_MARKS = ("getaddrinfo", "Max retries exceeded", "Connection aborted")
 VENDOR_MARK = "DH-N"
+LABEL_LENGTH = 160
 
 SIDECAR = T.StructType([
     T.StructField("symbol", T.StringType()), T.StructField("segment", T.StringType()), T.StructField("instrument_type", T.StringType()),
@@ -35,6 +37,7 @@ def traded(sidecars: DataFrame, segment: str = "NSE_EQ", instrument: str = "EQUI
 
 
 def warning_kind(text: Column) -> Column:
+    # Wording of the warnings.
     t = F.lower(text)
     return (F.when(t.contains("zero volume"), "zero_volume").when(t.contains("gaps longer than"), "history_gaps")
             .when(t.contains("incoherent"), "repaired_bars").when(t.contains("duplicate"), "duplicate_bars").otherwise("other"))
@@ -71,20 +74,20 @@ def problem_lines(logs: DataFrame) -> DataFrame:
 
 
 def log_cause(line: Column) -> Column:
-    """Addresses, dates and numbers collapsed, trimmed to 160 characters: a label, the line itself is read whole."""
+    """The whole line with addresses, dates and numbers collapsed."""
     s = F.regexp_replace(line, r"0x[0-9A-Fa-f]+", "<addr>")
     s = F.regexp_replace(s, r"\d{4}-\d{2}-\d{2}", "<date>")
-    return F.substring(F.trim(F.regexp_replace(s, r"\d+", "N")), 1, 160)
+    return F.trim(F.regexp_replace(s, r"\d+", "N"))
 
 
 def log_cause_groups(logs: DataFrame) -> DataFrame:
-    """Lines per cause with its bucket: lost network, vendor refusal, other."""
+    """Lines per cause with its bucket (lost network, vendor refusal, other) and a label of 160 characters."""
     g = problem_lines(logs).groupBy(log_cause(F.col("line")).alias("cause")).agg(F.count(F.lit(1)).alias("lines"))
     net = F.lit(False)
     for m in NETWORK_MARKS:
         net = net | F.col("cause").contains(m)
     vendor = F.col("cause").contains(VENDOR_MARK) & ~F.col("cause").contains("getaddrinfo")
-    return g.withColumn("bucket", F.when(net, "network").when(vendor, "vendor").otherwise("other"))
+    return g.withColumns({"label": F.substring("cause", 1, LABEL_LENGTH), "bucket": F.when(net, "network").when(vendor, "vendor").otherwise("other")})
 
 
 def range_had_sessions(line: Column) -> Column:
@@ -98,7 +101,8 @@ def range_had_sessions(line: Column) -> Column:
 
 def repeat_failures(logs: DataFrame, least: int = 3) -> DataFrame:
     """Symbols failing at least ``least`` times on ranges that could hold a session."""
-    sym = F.regexp_extract("line", r"(?:WARNING|ERROR)\s+([A-Z][A-Z0-9&\-]{1,15})\s+(?:D|\d+m)\b", 1)
+    # Fixed value: where a failure line names its symbol.
+    sym = F.regexp_extract("line", r"(?:WARNING|ERROR)\s+([A-Z][A-Z0-9&\-]*)\s+(?:D|\d+m)\b", 1)
     rows = problem_lines(logs).select(sym.alias("symbol"), "line").filter((F.col("symbol") != "") & range_had_sessions(F.col("line")))
     return rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("failures")).filter(F.col("failures") >= least)
 

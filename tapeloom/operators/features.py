@@ -112,7 +112,7 @@ def walk_forward_folds(features: DataFrame, p: FoldParams = FoldParams()) -> Dat
         F.sum(F.when(train, F.col("rows")).otherwise(0)).alias("n_train"), F.sum(F.when(test, F.col("rows")).otherwise(0)).alias("n_test"))
     ok = folds.filter((F.col("n_train") >= p.min_train_rows) & (F.col("n_test") >= p.min_test_rows))
     if ok.filter("fold > 0").isEmpty():
-        raise InsufficientHistory(f"{n} dates: no fold meets the minimum sizes; lower them explicitly or supply a longer panel")
+        raise InsufficientHistory(f"{n} dates give no fold with {p.min_train_rows} training and {p.min_test_rows} test rows")
     return ok
 
 

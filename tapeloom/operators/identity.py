@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapeloom.plans import ordered
 from tapeloom.plans.components import connected_components
 
 MAX_LINK_GAP_DAYS = 730
@@ -22,14 +23,13 @@ def identity_observations(rows: DataFrame) -> DataFrame:
 def symbol_eras(obs: DataFrame, max_gap_days: int = MAX_LINK_GAP_DAYS) -> DataFrame:
     """Number the uses of a symbol; a new era starts after a gap from the latest end seen so far.
 
-    Runs on the pair table, where a symbol has one row per key it ever carried.
+    Runs on the pair table, where a symbol has one row per key it ever carried. A hub symbol may carry a third of all
+    keys, so its rows are scanned in ranges.
     """
-    w = Window.partitionBy("symbol").orderBy("first", "isin")
-    reach = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = (F.datediff("first", reach) > max_gap_days).cast("int")
-    flagged = obs.withColumn("_new", F.coalesce(fresh, F.lit(0)))
-    era = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
-    return flagged.withColumn("era", era).drop("_new")
+    order = [F.col("first"), F.col("isin")]
+    reached = ordered.running_max(obs, ["symbol"], order, "last", "_reach")
+    fresh = F.coalesce((F.datediff("first", "_reach") > max_gap_days).cast("int"), F.lit(0))
+    return ordered.running_sums(reached, ["symbol"], order, {"era": fresh.cast("long")}).drop("_reach")
 
 
 @dataclass(frozen=True)

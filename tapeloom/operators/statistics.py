@@ -308,13 +308,21 @@ def yearly_returns(curves: DataFrame) -> DataFrame:
 def breadth(bars: DataFrame, length: int = 50) -> DataFrame:
     """Share of names above the mean of their own last ``length`` bars as of each session.
 
-    A name that did not print counts with its latest bar.
+    A name that did not print counts with its latest bar. Only changes of a name's state are added up, so no grid of
+    names and sessions is built; the running sums have one row per session.
     """
     w = Window.partitionBy("symbol").orderBy("session_no").rowsBetween(-(length - 1), 0)
     above = F.when(F.count("close").over(w) >= length, (F.col("close") > F.avg("close").over(w)).cast("double"))
-    asof = mark_ffill(align_calendar(bars.withColumn("_above", above), ["_above"]), "_above", "_asof")
-    return asof.filter(F.col("_asof").isNotNull()).groupBy("date", "session_no").agg(
-        F.avg("_asof").alias("breadth"), F.count("_asof").alias("names"))
+    states = bars.select("symbol", "date", "session_no", above.alias("_above"))
+    own = Window.partitionBy("symbol").orderBy("session_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last("_above", ignorenulls=True).over(own)
+    moved = F.when(F.col("_above").isNotNull(), F.col("_above") - F.coalesce(before, F.lit(0.0)))
+    born = F.when(F.col("_above").isNotNull() & before.isNull(), 1)
+    per = states.select("date", "session_no", moved.alias("_m"), born.alias("_b")).groupBy("date", "session_no").agg(
+        F.coalesce(F.sum("_m"), F.lit(0.0)).alias("_m"), F.coalesce(F.sum("_b"), F.lit(0)).alias("_b"))
+    upto = Window.partitionBy(F.lit(1)).orderBy("session_no").rowsBetween(Window.unboundedPreceding, 0)
+    run = per.select("date", "session_no", F.sum("_m").over(upto).alias("_m"), F.sum("_b").over(upto).alias("names"))
+    return run.filter("names > 0").select("date", "session_no", (F.col("_m") / F.col("names")).alias("breadth"), "names")
 
 
 def cross_section_per_day(bars: DataFrame) -> DataFrame:

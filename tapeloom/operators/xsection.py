@@ -32,7 +32,7 @@ def eligibility(panel: DataFrame, p: ScreenParams = ScreenParams()) -> DataFrame
     """Add the momentum score and whether the name may be ranked on the date."""
     liquid = rolling(median_of("turnover"), "turnover", p.turnover_window, p.turnover_window // 2) >= p.min_turnover
     ends = lookback("close", p.skip).isNotNull() & lookback("close", p.look).isNotNull()
-    ok = liquid & (F.col("close") >= p.min_price) & ends & F.col("close").isNotNull()
+    ok = liquid & (F.col("close") >= p.min_price) & ends & finite(F.col("close"))
     return panel.withColumns({"score": ind.momentum(p.look, p.skip), "eligible": F.coalesce(ok, F.lit(False))})
 
 
@@ -44,8 +44,8 @@ def top_n(df: DataFrame, n: int, group: Sequence[str] = ("date",), order: Sequen
 
 
 def rank_top_n(scored: DataFrame, n: int) -> DataFrame:
-    """Best eligible names per date, ties by symbol."""
-    return top_n(scored.filter(F.col("eligible") & F.col("score").isNotNull()), n)
+    """Best eligible names per date, ties by symbol; a score that is no finite number is never ranked."""
+    return top_n(scored.filter(F.col("eligible") & finite(F.col("score"))), n)
 
 
 def winsorised_z(df: DataFrame, group: Sequence[str], key: str, cols: Sequence[str], limit: float = 3.0) -> DataFrame:
@@ -69,6 +69,7 @@ def winsorised_z(df: DataFrame, group: Sequence[str], key: str, cols: Sequence[s
     return scored.groupBy(*group, key).agg(*[F.max(F.when(F.col("factor") == c, F.col("z"))).alias(f"z_{c}") for c in cols])
 
 
+# Default gates.
 @dataclass(frozen=True)
 class GateParams:
     min_bars: int = 500
@@ -116,6 +117,7 @@ def regime_score(f: DataFrame, default: str = "trend") -> DataFrame:
         return w
     zero = F.lit(0.0)
     d = F.col("direction")
+    # Blend of the return horizons.
     rs = (0.40 * F.coalesce("ret_medium", zero) + 0.35 * F.coalesce("ret_long", zero) + 0.25 * F.coalesce("ret_year_skip", zero))
     raw = f.withColumns({
         "rs": F.when(d == 0, F.abs(rs)).when(d < 0, -rs).otherwise(rs),
@@ -257,7 +259,7 @@ def targets(scored: DataFrame, n: int, step: int) -> DataFrame:
 
 def target_holdings(scored: DataFrame, n: int, step: int) -> DataFrame:
     """Names entered, kept and left at each rebalance against the previous target."""
-    scored = settle(scored)
+    scored = settle(scored, "symbol", "date", "session_no", "score", "eligible")
     t = targets(scored, n, step).select("rebalance_no", "symbol")
     prev = t.select((F.col("rebalance_no") + 1).alias("rebalance_no"), "symbol", F.lit(1).alias("_was"))
     both = t.withColumn("_is", F.lit(1)).join(prev, ["rebalance_no", "symbol"], "full")
@@ -275,7 +277,7 @@ def holding_returns(t: DataFrame, panel: DataFrame, hold: str = "_until", keys:
 
 def holdings_return_curve(scored: DataFrame, n: int, step: int, cost_bps: float = 0.0) -> DataFrame:
     """Equal-weight return of the target names from the session after each decision, cost drag on traded weight."""
-    scored = settle(scored)
+    scored = settle(scored, "symbol", "date", "session_no", "close", "score", "eligible")
     t = targets(scored, n, step).withColumn("_until", F.col("session_no") + step)
     daily = (holding_returns(t, scored).groupBy("session_no", "date").agg(F.avg("ret").alias("gross"), F.count("ret").alias("names")))
     ch = target_holdings(scored, n, step)
@@ -307,17 +309,18 @@ def rank_with(rules: Sequence[RankingRule], panel: DataFrame, n: int) -> DataFra
     panel = settle(panel)
     out = None
     for rule in rules:
-        rows = rule.score(panel).filter(F.col("entry_ok") & F.col("score").isNotNull()).select(F.lit(rule.name).alias("rule"), "date", "symbol", "score")
+        rows = rule.score(panel).filter(F.col("entry_ok") & finite(F.col("score"))).select(F.lit(rule.name).alias("rule"), "date", "symbol", "score")
         out = rows if out is None else out.unionByName(rows)
     return top_n(out, n, ["rule", "date"])
 
 
-def grid_returns(scored: DataFrame, cells: DataFrame, most: int) -> DataFrame:
+def grid_returns(scored: DataFrame, cells: DataFrame) -> DataFrame:
     """Every (n, step) cell of a small grid in one pass: rank once, explode the cells a row belongs to.
 
-    ``cells``: one row holding an array of (n, step) structs; nothing is selected from the result.
+    ``cells``: one row holding an array of (n, step) structs; its largest n bounds the ranks that are kept.
     """
-    scored = settle(scored)
+    scored = settle(scored, "symbol", "date", "session_no", "close", "score", "eligible")
+    most = max((c["n"] for c in cells.first()[0]), default=0)
     first = scored.filter(F.col("score").isNotNull()).select(F.min("session_no"))
     last = scored.select(F.max("session_no"))
     best = rank_top_n(scored.filter(F.col("session_no") >= first.scalar()), most)

@@ -65,6 +65,16 @@ def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column],
                          *[f"{n}_all" for n in sums if totals])
 
 
+def running_max(df: DataFrame, group: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """Largest ``value`` of the earlier rows in ``order`` (unique inside the group); null for a group's first row."""
+    laid = lay_out(df, group, order)
+    inside = Window.partitionBy(*group, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*group).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    tops = laid.groupBy(*group, PART).agg(F.max(value).alias("_top")).withColumn("_before", F.max("_top").over(earlier)).drop("_top")
+    joined = laid.withColumn("_own", F.max(value).over(inside)).join(tops, [*group, PART])
+    return joined.select(*df.columns, F.greatest("_own", "_before").alias(name))
+
+
 def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Distinct values per group: how often they occur, how many rows lie below them, and the group's rows.
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeloom.functions.frames import clean
+
 # Column names of the public archive formats and the normalised schema.
 LEGACY_FIELDS = {"SYMBOL": "symbol", "SERIES": "series", "OPEN": "open", "HIGH": "high", "LOW": "low",
                  "CLOSE": "close", "PREVCLOSE": "prev_close", "TOTTRDQTY": "volume", "TOTTRDVAL": "turnover"}
@@ -48,10 +50,10 @@ def archive_normalise(legacy: Sequence[DataFrame], current: Sequence[DataFrame])
 
 
 def archive_tidy(df: DataFrame) -> DataFrame:
-    """Keep well-formed keys and positive closes; unreadable numbers become null."""
+    """Keep well-formed keys and positive closes; unreadable, NaN and infinite numbers become null."""
     rows = df.filter(F.col("isin").isNotNull() & F.col("close").isNotNull()
                      & ((F.length("isin") == KEY_LENGTH) | F.col("isin").startswith(STAND_IN)))
-    typed = rows.select(*[F.expr(f"try_cast({c} AS double)").alias(c) if c in NUMERIC else F.col(c)
+    typed = rows.select(*[clean(F.expr(f"try_cast({c} AS double)")).alias(c) if c in NUMERIC else F.col(c)
                           for c in ARCHIVE_COLUMNS])
     return typed.filter(F.col("close") > 0)
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tapeloom.functions.frames import cleaned
+
 
 def scan_bars(bars: DataFrame, start: str | None = None, end: str | None = None, min_bars: int = 1,
               ts: str = "date") -> DataFrame:
@@ -44,11 +46,11 @@ def scan_json_store(spark: SparkSession, path: str, record: T.StructType) -> Dat
     """Store files of the form ``{"companies": {symbol: record}}``; unreadable files give no rows."""
     schema = T.StructType([T.StructField("companies", T.MapType(T.StringType(), record))])
     store = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    return store.select(F.explode("companies").alias("symbol", "record")).select("symbol", "record.*")
+    return cleaned(store.select(F.explode("companies").alias("symbol", "record")).select("symbol", "record.*"))
 
 
 def scan_csv_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return cleaned(spark.read.schema(schema).option("header", True).csv(path))
 
 
 def write_panel(panel: DataFrame, path: str) -> None:

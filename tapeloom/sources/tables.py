@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapeloom.functions.frames import cleaned
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,7 +30,7 @@ def bars_from_ticks(ticks: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars per supplier; price is 100·ln(unit price), kept as integer ticks until the last step."""
-    items = table(spark, sf_dir, "lineitem")
+    items = cleaned(table(spark, sf_dir, "lineitem")).filter("l_extendedprice > 0 AND l_quantity > 0")
     ticks = items.select(
         F.col("l_suppkey").alias("symbol"),
         F.date_trunc("week", "l_shipdate").cast("date").alias("date"),
@@ -71,7 +73,7 @@ def benchmark(bars: DataFrame) -> DataFrame:
 
 def hourly_bars(spark: SparkSession, sf_dir: str, level: float = 500.0) -> DataFrame:
     """Hourly bars from event ticks, symbol = user_id % 5; the event value is a move around a price level."""
-    ticks = table(spark, sf_dir, "events").select(
+    ticks = cleaned(table(spark, sf_dir, "events")).filter("value IS NOT NULL").select(
         (F.col("user_id") % 5).alias("symbol"), F.col("ts").cast("date").alias("trade_date"),
         F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bar_ts"), (F.col("value") + level).alias("px"), "ts", "event_id")
     bars = bars_from_ticks(ticks, ["symbol", "trade_date", "bar_ts"], ["ts", "event_id"], "px",

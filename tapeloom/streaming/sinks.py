@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.operators import intraday as idy
 from tapeloom.operators import outcomes as oc
@@ -25,8 +26,8 @@ def run_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], check
 class SignalSink:
     """Confirmed bars in, routed signals and next-bar fills out.
 
-    Bars are kept as a table by batch; each batch reads back only the sessions it touches, runs the batch operators
-    on them, and writes the decisions made on its own bars and the fills its own bars price.
+    Bars are kept as a table by batch and day; each batch reads back only the days it touches (a filter on folders), runs
+    the batch operators on the sessions it touches, and writes the decisions made on its own bars and the fills its own bars price.
     """
 
     folder: str
@@ -35,12 +36,18 @@ class SignalSink:
     times: idy.SessionTimes
     slippage_bps: float = 5.0
 
+    def history(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+        """All bars written so far, with their batch."""
+        return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{self.folder}/bars")
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         bars = batch.withColumn("trade_date", F.col("bar_ts").cast("date")).filter(idy.clock().between(self.times.market_open, self.times.market_close))
-        bars.write.mode("overwrite").parquet(f"{self.folder}/bars/batch={batch_id}")
-        table = spark.read.parquet(f"{self.folder}/bars").filter(F.col("batch") <= batch_id)
+        bars.write.mode("overwrite").partitionBy("trade_date").parquet(f"{self.folder}/bars/batch={batch_id}")
+        table = self.history(spark, bars.schema).filter(F.col("batch") <= batch_id)
         mine = table.filter(F.col("batch") == batch_id)
+        days = [r[0] for r in mine.select("trade_date").distinct().collect()]
+        table = table.filter(F.col("trade_date").isin(days))
         rows = table.join(mine.select("symbol", "trade_date").distinct(), ["symbol", "trade_date"], "left_semi").drop("batch")
         rows = settle(rows)
         routed = settle(idy.route_signals(self.registry.run(self.enrich(idy.with_features(rows, self.times))), self.times))

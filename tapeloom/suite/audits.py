@@ -61,15 +61,15 @@ def _(spark, sf):
 
 
 CAUSES = q.LOGS + r""", pl AS (SELECT line FROM logs WHERE line LIKE '% ERROR %' OR line LIKE '% WARNING %'),
-cz AS (SELECT substr(trim(regexp_replace(regexp_replace(regexp_replace(line, '0x[0-9A-Fa-f]+', '<addr>', 'g'), '\d{4}-\d{2}-\d{2}', '<date>', 'g'), '\d+', 'N', 'g')), 1, 160) AS cause, count(*) AS lines FROM pl GROUP BY 1)"""
+cz AS (SELECT trim(regexp_replace(regexp_replace(regexp_replace(line, '0x[0-9A-Fa-f]+', '<addr>', 'g'), '\d{4}-\d{2}-\d{2}', '<date>', 'g'), '\d+', 'N', 'g')) AS cause, count(*) AS lines FROM pl GROUP BY 1)"""
 
 
-@query("log_cause_groups", f"""WITH {CAUSES} SELECT cause, lines, CASE WHEN cause LIKE '%getaddrinfo%' OR cause LIKE '%Max retries exceeded%' OR cause LIKE '%Connection aborted%' THEN 'network' WHEN cause LIKE '%DH-N%' THEN 'vendor' ELSE 'other' END AS bucket FROM cz""")
+@query("log_cause_groups", f"""WITH {CAUSES} SELECT cause, substr(cause, 1, 160) AS label, lines, CASE WHEN cause LIKE '%getaddrinfo%' OR cause LIKE '%Max retries exceeded%' OR cause LIKE '%Connection aborted%' THEN 'network' WHEN cause LIKE '%DH-N%' THEN 'vendor' ELSE 'other' END AS bucket FROM cz""")
 def _(spark, sf):
     return ad.log_cause_groups(src.log_lines(spark, sf))
 
 
-@query("repeat_failures", f"""WITH {CAUSES}, s AS (SELECT regexp_extract(line, '(?:WARNING|ERROR)\\s+([A-Z][A-Z0-9&\\-]{{1,15}})\\s+(?:D|\\d+m)\\b', 1) AS symbol FROM pl WHERE line NOT LIKE '%2024-01-06..2024-01-07%')
+@query("repeat_failures", f"""WITH {CAUSES}, s AS (SELECT regexp_extract(line, '(?:WARNING|ERROR)\\s+([A-Z][A-Z0-9&\\-]*)\\s+(?:D|\\d+m)\\b', 1) AS symbol FROM pl WHERE line NOT LIKE '%2024-01-06..2024-01-07%')
 SELECT symbol, count(*) AS failures FROM s WHERE symbol<>'' GROUP BY 1 HAVING count(*)>=3""")
 def _(spark, sf):
     return ad.repeat_failures(src.log_lines(spark, sf))

@@ -48,7 +48,7 @@ def raw_archive(spark, sf):
     b = src.weekly_bars(spark, sf)
     text = {c: F.col(c).cast("decimal(20,4)").cast("string") for c in ("open", "high", "low", "close", "volume", "turnover")}
     text["open"] = F.when(F.col("volume") % 13 == 0, "n/a").otherwise(text["open"])
-    text["close"] = F.when(F.col("volume") % 17 == 0, "-").otherwise(text["close"])
+    text["close"] = F.when(F.col("volume") % 17 == 0, "-").when(F.col("volume") % 19 == 0, "NaN").when(F.col("volume") % 23 == 0, "Infinity").otherwise(text["close"])
     sym = F.concat(F.lit(" S"), F.col("symbol").cast("string"), F.lit(" "))
     ser = F.when(F.col("symbol") % 10 == 0, "BE ").otherwise(" EQ")
     key = (F.when(F.col("symbol") % 7 == 0, "  ").when(F.col("symbol") % 11 == 0, "SHORT")
@@ -70,12 +70,12 @@ _RAW = q.WBARS + """, raw AS (SELECT date, CASE WHEN date < DATE '1996-01-01' TH
  concat('S', symbol) AS sym, CASE WHEN symbol%10=0 THEN 'BE' ELSE 'EQ' END AS series,
  CASE WHEN symbol%7=0 THEN '' WHEN symbol%11=0 THEN 'SHORT' ELSE concat('INE', lpad(CAST(symbol AS VARCHAR), 9, '0')) END AS key,
  CAST(volume AS BIGINT)%5=0 AS idx, CASE WHEN CAST(volume AS BIGINT)%13=0 THEN 'n/a' ELSE CAST(CAST(open AS DECIMAL(20,4)) AS VARCHAR) END AS open,
- CASE WHEN CAST(volume AS BIGINT)%17=0 THEN '-' ELSE CAST(CAST(close AS DECIMAL(20,4)) AS VARCHAR) END AS close,
+ CASE WHEN CAST(volume AS BIGINT)%17=0 THEN '-' WHEN CAST(volume AS BIGINT)%19=0 THEN 'NaN' WHEN CAST(volume AS BIGINT)%23=0 THEN 'Infinity' ELSE CAST(CAST(close AS DECIMAL(20,4)) AS VARCHAR) END AS close,
  CAST(CAST(volume AS DECIMAL(20,4)) AS VARCHAR) AS volume FROM wbars),
 norm AS (SELECT date, CASE WHEN era=1 THEN concat('SYM:', sym) WHEN era=2 THEN coalesce(nullif(key,''), concat('SYM:', sym)) ELSE key END AS isin,
  sym AS symbol, series, open, close, volume FROM raw WHERE NOT (era=3 AND idx)),
 tidy AS (SELECT date, isin, symbol, series, TRY_CAST(open AS DOUBLE) AS open, TRY_CAST(close AS DOUBLE) AS close, TRY_CAST(volume AS DOUBLE) AS volume
- FROM norm WHERE (length(isin)=12 OR isin LIKE 'SYM:%') AND TRY_CAST(close AS DOUBLE) > 0)"""
+ FROM norm WHERE (length(isin)=12 OR isin LIKE 'SYM:%') AND TRY_CAST(close AS DOUBLE) > 0 AND isfinite(TRY_CAST(close AS DOUBLE)))"""
 
 
 @query("archive_normalise", f"WITH {_RAW} SELECT date, isin, symbol, series, open, close, volume FROM norm")
@@ -128,7 +128,22 @@ def _(spark, sf):
     return archive.archive_day_status(archive.weekday_calendar(_order_span(spark, sf)), files)
 
 
-@query("scan_json_store", r"""SELECT event_id, regexp_extract(props, '"(\w+)"', 1) AS key, CAST(regexp_extract(props, ':\s*(-?\d+)', 1) AS BIGINT) AS value FROM events""")
+@query("scan_json_store", f"WITH {q.FUNDAMENTALS} SELECT CAST(symbol AS VARCHAR) AS symbol, sector, price, market_cap_cr, age_days FROM fundamentals")
+def _(spark, sf):
+    """Writes the records as store files of 500 names each, one of them cut short, and scans them."""
+    path = scratch(spark, "store")
+    record = F.struct("sector", "price", "market_cap_cr", "age_days")
+    files = src.fundamentals(spark, sf).groupBy(F.floor(F.col("symbol") / 500).alias("file")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("symbol").cast("string"), record))).alias("companies"))
+    broken = files.select(F.lit('{"companies": {"0": {"sector"').alias("value")).limit(1)
+    (files.select(F.to_json(F.struct("companies")).alias("value")).unionByName(broken).repartition("value")
+     .write.option("maxRecordsPerFile", 1).text(path))
+    schema = T.StructType([T.StructField("sector", T.StringType()), T.StructField("price", T.DoubleType()), T.StructField("market_cap_cr", T.DoubleType()),
+                           T.StructField("age_days", T.LongType())])
+    return stores.scan_json_store(spark, path, schema)
+
+
+@query("explode_json_map", r"""SELECT event_id, regexp_extract(props, '"(\w+)"', 1) AS key, CAST(regexp_extract(props, ':\s*(-?\d+)', 1) AS BIGINT) AS value FROM events""")
 def _(spark, sf):
     return stores.explode_json_map(src.table(spark, sf, "events").select("event_id", "props"), "props")
 
@@ -142,19 +157,22 @@ def _(spark, sf):
     return stores.scan_csv_records(spark, path, schema).withColumn("gross_pnl", fixed(F.col("gross_pnl")))
 
 
-@query("write_panel", f"WITH {q.WBARS} SELECT symbol, date, close, year(date) AS year FROM wbars WHERE year(date) IN (1997, 1998)")
+@query("write_panel", f"WITH {q.WBARS} SELECT symbol, date, open, high, low, close, volume, round(turnover, 4) AS turnover, year(date) AS year FROM wbars")
 def _(spark, sf):
     path = scratch(spark, "panel")
     stores.write_panel(src.weekly_bars(spark, sf), path)
-    return spark.read.parquet(path).filter(F.col("year").isin(1997, 1998)).select("symbol", "date", "close", F.col("year").cast("long").alias("year"))
+    return spark.read.parquet(path).select("symbol", "date", "open", "high", "low", "close", "volume", fixed(F.col("turnover"), 4).alias("turnover"),
+                                           F.col("year").cast("long").alias("year"))
 
 
-@query("write_reports", f"WITH {q.TRADES} SELECT reason, count(*) AS trades, round(sum(gross_pnl), 4) AS gross FROM trades GROUP BY 1")
+@query("write_reports", f"""WITH {q.TRADES}, r AS (SELECT reason, count(*) AS trades, round(sum(gross_pnl), 4) AS gross FROM trades GROUP BY 1)
+SELECT 'json' AS kind, * FROM r UNION ALL SELECT 'csv', * FROM r""")
 def _(spark, sf):
     path = scratch(spark, "reports")
     report = src.trades(spark, sf).groupBy("reason").agg(F.count(F.lit(1)).alias("trades"), fixed(F.sum("gross_pnl"), 4).alias("gross"))
     stores.write_reports({"by_reason": report}, path)
-    return spark.read.schema(report.schema).json(f"{path}/by_reason.json")
+    as_json, as_csv = spark.read.schema(report.schema).json(f"{path}/by_reason.json"), stores.scan_csv_records(spark, f"{path}/by_reason.csv", report.schema)
+    return as_json.select(F.lit("json").alias("kind"), "*").unionByName(as_csv.select(F.lit("csv").alias("kind"), "*"))
 
 
 _DAYS = "SELECT CAST(o_orderdate AS DATE) AS trade_date, count(*) AS trades, {tag} AS origin FROM orders WHERE o_orderdate {cond} GROUP BY 1"

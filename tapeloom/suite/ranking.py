@@ -224,14 +224,14 @@ def _sql_cells(cells):
 
 @query("parameter_grid", f"WITH {GRID.replace('{cells}', _sql_cells(CELLS))} SELECT n, step, sessions, round(total_pct, 4) AS total_pct FROM gr")
 def _(spark, sf):
-    g = xs.grid_returns(scored(spark, sf), _cells(spark, CELLS), 20)
+    g = xs.grid_returns(scored(spark, sf), _cells(spark, CELLS))
     return g.select("n", "step", "sessions", fixed(F.col("total_pct"), 4).alias("total_pct"))
 
 
 @query("weekday_spread", f"""WITH {GRID.replace('{cells}', _sql_cells(PHASES))} SELECT phase, sessions, round(total_pct, 4) AS total_pct,
 round(max(total_pct) OVER () - min(total_pct) OVER (), 4) AS spread_pp FROM gr""")
 def _(spark, sf):
-    g = xs.grid_returns(scored(spark, sf), _cells(spark, PHASES), 20)
+    g = xs.grid_returns(scored(spark, sf), _cells(spark, PHASES))
     s = g.agg(F.max("total_pct") - F.min("total_pct"))
     return g.select("phase", "sessions", fixed(F.col("total_pct"), 4).alias("total_pct"), fixed(s.scalar(), 4).alias("spread_pp"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.functions.frames import beside, lookback, ratio
+from tapeloom.functions.frames import beside, finite, lookback, ratio
 from tapeloom.functions.indicators import drawdown_curve
 from tapeloom.operators import xsection as xs
 from tapeloom.operators.calendars import align_calendar, mark_ffill
@@ -182,21 +182,46 @@ def alpha_beta(aligned: DataFrame, keys: Sequence[str] = (), per_year: int = PER
                     F.when(ok, F.col("correlation")).alias("correlation"))
 
 
-def random_null(scored: DataFrame, n: int, step: int, trials: int, score: Column | None = None) -> DataFrame:
-    """Total return per trial of the same selection under random scores (a hash of trial, session and symbol).
+def draw_number(*parts: Column) -> Column:
+    """A reproducible number from 0 to 2^32 - 1 for whole-number keys."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
 
-    Only eligible rows of the rebalance sessions are multiplied by the trials, and each task keeps n rows per
-    (trial, session) before the shuffle. ``score`` replaces the hash (evaluator hook).
+
+def random_targets(scored: DataFrame, n: int, step: int, trials: int) -> DataFrame:
+    """trial, rebalance_no, session_no, symbol of ``n`` eligible names drawn at random for every trial and rebalance.
+
+    The eligible names of a session are numbered once; a draw picks places, so there are about 4·n·trials rows per
+    session, however many names it has. Of 4·n drawn places (all of them, in random order, when there are no more) the
+    first ``n`` different ones count.
     """
-    scored = settle(scored)
-    days = F.broadcast(xs.rebalance_dates(scored, step).select("session_no"))
-    fwd = scored.withColumn("_fwd", ratio(lookback("close", -step), F.col("close")) - 1)
-    rows = fwd.filter("eligible").join(days, "session_no").select("session_no", "symbol", "_fwd", "score")
-    drawn = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    value = F.xxhash64("trial", "session_no", "symbol") if score is None else score
-    picked = xs.top_n(drawn.withColumn("_draw", value), n, ["trial", "session_no"], [F.col("_draw").desc(), F.col("symbol").asc()])
-    per = picked.groupBy("trial", "session_no").agg(F.avg("_fwd").alias("ret"))
-    return per.groupBy("trial").agg((100 * (F.exp(F.sum(F.log1p(F.coalesce("ret", F.lit(0.0))))) - 1)).alias("total_pct"))
+    rows = scored.filter(F.col("eligible") & finite(F.col("score"))).join(F.broadcast(xs.rebalance_dates(scored, step).select("session_no", "rebalance_no")), "session_no")
+    placed = settle(ordered.row_numbers(rows.select("rebalance_no", "session_no", "symbol"), ["session_no"], [F.col("symbol").asc()], "place", "size"))
+    sizes = placed.groupBy("rebalance_no", "session_no").agg(F.max("size").alias("size"))
+    tries = sizes.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("_k", F.explode(F.sequence(F.lit(0), (F.least("size", F.lit(4 * n)) - 1).cast("int"))))
+    drawn, few = draw_number(F.col("trial"), F.col("session_no"), F.col("_k")), F.col("size") <= 4 * n
+    places = (tries.select("trial", "rebalance_no", "session_no", (F.when(few, F.col("_k")).otherwise(drawn % F.col("size")) + 1).alias("place"),
+                           F.when(few, drawn).otherwise(F.col("_k")).alias("_o"))
+              .groupBy("trial", "rebalance_no", "session_no", "place").agg(F.min("_o").alias("_o")))
+    picked = xs.top_n(places, n, ["trial", "session_no"], [F.col("_o").asc(), F.col("place").asc()])
+    return picked.select("trial", "session_no", "place", "rebalance_no").join(placed.select("session_no", "place", "symbol"), ["session_no", "place"]).select("trial", "rebalance_no", "session_no", "symbol")
+
+
+def total_returns(scored: DataFrame, targets: DataFrame, n: int, step: int, cost_bps: float = 0.0) -> DataFrame:
+    """Total return in per cent of each trial's targets (trial, rebalance_no, session_no, symbol)."""
+    days = xs.holdings_days(targets, xs.rebalance_dates(scored, step), scored, n, step, cost_bps, ["trial"])
+    return days.groupBy("trial").agg((100 * (F.exp(F.sum(F.log1p("net"))) - 1)).alias("total_pct"))
+
+
+def random_null(scored: DataFrame, n: int, step: int, trials: int, cost_bps: float = 0.0) -> DataFrame:
+    """Total return per trial of random selections: same eligibility, rebalances, costs and engine as the strategy."""
+    scored = settle(scored, "symbol", "date", "session_no", "close", "score", "eligible")
+    return total_returns(scored, random_targets(scored, n, step, trials), n, step, cost_bps)
+
+
+def strategy_return(scored: DataFrame, n: int, step: int, cost_bps: float = 0.0) -> DataFrame:
+    """The same evaluation of the strategy's own targets, as trial 0."""
+    scored = settle(scored, "symbol", "date", "session_no", "close", "score", "eligible")
+    return total_returns(scored, xs.targets(scored, n, step).withColumn("trial", F.lit(0)), n, step, cost_bps)
 
 
 def percentile_of(sample: DataFrame, col: str, value: Column) -> DataFrame:

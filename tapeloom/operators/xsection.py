@@ -275,19 +275,33 @@ def holding_returns(t: DataFrame, panel: DataFrame, hold: str = "_until", keys:
     return spread.join(rets, ["symbol", "session_no"])
 
 
+def traded_weight(t: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Names that entered or left at each rebalance after the first, as a share of ``n``."""
+    by = [*keys, "rebalance_no"]
+    now = t.select(*by, "symbol", F.lit(1).alias("_is"))
+    was = t.select(*keys, (F.col("rebalance_no") + 1).alias("rebalance_no"), "symbol", F.lit(1).alias("_was"))
+    both = now.join(was, [*by, "symbol"], "full")
+    return both.groupBy(*by).agg((F.count_if(F.col("_is").isNull() | F.col("_was").isNull()) / n).alias("traded"))
+
+
+def holdings_days(t: DataFrame, days: DataFrame, panel: DataFrame, n: int, step: int, cost_bps: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
+    """Daily equal-weight return of any targets (keys, rebalance_no, session_no, symbol), gross and less the cost of trading.
+
+    The one engine for a strategy and for the random selections it is measured against.
+    """
+    t = settle(t, *keys, "rebalance_no", "session_no", "symbol")
+    held = holding_returns(t.withColumn("_until", F.col("session_no") + step), panel, keys=keys)
+    daily = held.groupBy(*keys, "session_no", "date").agg(F.avg("ret").alias("gross"), F.count("ret").alias("names"))
+    after = days.select("rebalance_no", (F.col("session_no") + 1).alias("session_no"))
+    traded = traded_weight(t, n, keys).join(F.broadcast(after), "rebalance_no").drop("rebalance_no")
+    out = daily.join(traded, [*keys, "session_no"], "left").withColumn("traded", F.coalesce("traded", F.lit(0.0)))
+    return out.withColumn("net", F.coalesce("gross", F.lit(0.0)) - F.col("traded") * cost_bps / 1e4)
+
+
 def holdings_return_curve(scored: DataFrame, n: int, step: int, cost_bps: float = 0.0) -> DataFrame:
     """Equal-weight return of the target names from the session after each decision, cost drag on traded weight."""
     scored = settle(scored, "symbol", "date", "session_no", "close", "score", "eligible")
-    t = targets(scored, n, step).withColumn("_until", F.col("session_no") + step)
-    daily = (holding_returns(t, scored).groupBy("session_no", "date").agg(F.avg("ret").alias("gross"), F.count("ret").alias("names")))
-    ch = target_holdings(scored, n, step)
-    turned = ch.groupBy("rebalance_no").agg(F.count_if(F.col("change") != "kept").alias("_moved"))
-    days = rebalance_dates(scored, step).select("rebalance_no", (F.col("session_no") + 1).alias("session_no"))
-    traded = turned.join(days, "rebalance_no").select("session_no", (F.col("_moved") / n).alias("traded"))
-    out = daily.join(F.broadcast(traded), "session_no", "left")
-    cost = F.coalesce("traded", F.lit(0.0)) * cost_bps / 1e4
-    net = out.withColumns({"traded": F.coalesce("traded", F.lit(0.0)), "net": F.coalesce("gross", F.lit(0.0)) - cost})
-    return compound(net, "net", "curve")
+    return compound(holdings_days(targets(scored, n, step), rebalance_dates(scored, step), scored, n, step, cost_bps), "net", "curve")
 
 
 def compound(daily: DataFrame, ret: str, name: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.frames import fixed
 from tapeloom.operators import features as ft
+from tapeloom.operators.statistics import draw_number
 from tapeloom.session import settle
 from tapeloom.sources import tables as src
 from tapeloom.suite import sqlparts as q
@@ -89,13 +90,37 @@ def _(spark, sf):
                     fixed(F.col("holdout_ic"), 7).alias("holdout_ic"), fixed(F.col("holdout_spread"), 8).alias("holdout_spread"))
 
 
-@query("fit_predict")
+def _regression(names):
+    """Least squares per fold by residualising the features one after another on the training rows."""
+    g = [f"g{i}" for i in range(len(names))]
+    mean = lambda c: f"{c}-avg(CASE WHEN tr THEN {c} END) OVER w"
+    out = f"""lr AS (SELECT fold, date, symbol, y, date<=train_end AS tr, date BETWEEN test_start AND test_end AS te, {', '.join(names)} FROM fx JOIN fold ON date<=train_end OR date BETWEEN test_start AND test_end),
+l0 AS (SELECT fold, date, symbol, y, tr, te, avg(CASE WHEN tr THEN y END) OVER w AS p, {', '.join(f'{mean(n)} AS {x}' for n, x in zip(names, g))} FROM lr WINDOW w AS (PARTITION BY fold))"""
+    for i, x in enumerate(g):
+        later = "".join(f", {z}-{x}*sum(CASE WHEN tr THEN {z}*{x} END) OVER w/sum(CASE WHEN tr THEN {x}*{x} END) OVER w AS {z}" for z in g[i + 1:])
+        out += f""",
+l{i + 1} AS (SELECT fold, date, symbol, y, tr, te, p+{x}*sum(CASE WHEN tr THEN y*{x} END) OVER w/sum(CASE WHEN tr THEN {x}*{x} END) OVER w AS p{later} FROM l{i} WINDOW w AS (PARTITION BY fold))"""
+    return out, f"l{len(g)}"
+
+
+_OLS, _LAST = _regression(FP.names)
+
+
+@query("fit_predict", f"WITH {FOLD}, {_OLS} SELECT fold, date, symbol, round(y, 7)+0.0 AS y, round(p, 6)+0.0 AS pred FROM {_LAST} WHERE te")
 def _(spark, sf):
     x = settle(feats(spark, sf))
-    return ft.fit_predict(x, ft.walk_forward_folds(x, FOLDS), FP.names)
+    p = ft.fit_predict(x, ft.walk_forward_folds(x, FOLDS), FP.names)
+    return p.select("fold", "date", "symbol", fixed(F.col("y"), 7).alias("y"), fixed(F.col("pred")).alias("pred"))
+
+
+def _mean_ic(leak, pred):
+    """The oracle of one report's mean rank correlation."""
+    return f"(WITH {(PRED.replace(FSQL, fsql(-4)) if leak else PRED).replace('-rev AS pred', pred + ' AS pred')} SELECT avg(ic) FILTER (WHERE fold>0) FROM fsc)"
 
 
-@query("control_verdict")
+@query("control_verdict", f"""SELECT round(planted_ic, 7) AS planted_ic, round(noise_ic, 7) AS noise_ic, round(real_ic, 7) AS real_ic, coalesce(planted_ic>0.02, false) AS found, coalesce(abs(noise_ic)<0.02, false) AS quiet,
+coalesce(planted_ic>0.02, false) AND coalesce(abs(noise_ic)<0.02, false) AS readable
+FROM (SELECT {_mean_ic(True, '-mom_4')} AS planted_ic, {_mean_ic(False, "CAST('0x' || substr(md5(concat_ws('|', CAST(date AS VARCHAR), symbol)), 1, 8) AS BIGINT)")} AS noise_ic, {_mean_ic(False, '-rev')} AS real_ic)""")
 def _(spark, sf):
     """Controls from the panel itself: a leaked label must be found, a hashed prediction must not."""
     real, leaked = settle(feats(spark, sf)), settle(feats(spark, sf, True))
@@ -103,5 +128,6 @@ def _(spark, sf):
     def report(x, pred):
         p = settle(ft.assign_folds(x, ft.walk_forward_folds(x, FOLDS), pred))
         return ft.fold_report(ft.fold_scores(ft.rank_ic_deciles(p, LEAST)))
-    noise = F.xxhash64("date", "symbol").cast("double")
-    return ft.control_verdict(report(leaked, -F.col("mom_4")), report(real, noise), report(real, -F.col("rev")))
+    noise = draw_number(F.col("date"), F.col("symbol")).cast("double")
+    v = ft.control_verdict(report(leaked, -F.col("mom_4")), report(real, noise), report(real, -F.col("rev")))
+    return v.select(*[fixed(F.col(c), 7).alias(c) for c in ("planted_ic", "noise_ic", "real_ic")], "found", "quiet", "readable")

@@ -192,24 +192,45 @@ def _(spark, sf):
     return st.yearly_returns(c).select("year", *[fixed(F.col(x), 5).alias(x) for x in ("strategy_pct", "benchmark_pct", "excess_pp")])
 
 
+COST = 14.6
+NULL = CURVE + """, el AS (SELECT rebalance_no, e.session_no, symbol, row_number() OVER (PARTITION BY e.session_no ORDER BY symbol) AS place, count(*) OVER (PARTITION BY e.session_no) AS size
+ FROM elig e JOIN reb USING (session_no) WHERE eligible AND score IS NOT NULL AND isfinite(score)), sz AS (SELECT DISTINCT rebalance_no, session_no, size FROM el),
+dk AS (SELECT trial, rebalance_no, session_no, size, k, CAST('0x' || substr(md5(concat_ws('|', trial, session_no, k)), 1, 8) AS BIGINT) AS h
+ FROM sz, range(200) a(trial), range(40) b(k) WHERE k < size),
+dp AS (SELECT trial, rebalance_no, session_no, CASE WHEN size<=40 THEN k ELSE h%size END + 1 AS place, min(CASE WHEN size<=40 THEN h ELSE k END) AS o FROM dk GROUP BY ALL),
+tt AS (SELECT trial, dp.rebalance_no, dp.session_no, symbol FROM dp JOIN el USING (session_no, place) QUALIFY row_number() OVER (PARTITION BY trial, dp.session_no ORDER BY o, place)<=10),
+nd AS (SELECT trial, r.session_no, avg(ret) AS gross FROM tt t JOIN rt r ON r.symbol=t.symbol AND r.session_no BETWEEN t.session_no+1 AND t.session_no+4 GROUP BY ALL),
+nc AS (SELECT coalesce(a.trial, b.trial) AS trial, coalesce(a.rebalance_no, b.rebalance_no+1) AS rebalance_no, count(*) FILTER (WHERE a.symbol IS NULL OR b.symbol IS NULL)/10 AS traded
+ FROM tt a FULL JOIN tt b ON a.trial=b.trial AND a.symbol=b.symbol AND a.rebalance_no=b.rebalance_no+1 GROUP BY ALL),
+nw2 AS (SELECT trial, session_no+1 AS session_no, traded FROM nc JOIN reb USING (rebalance_no)),
+nul AS (SELECT trial, 100*(exp(sum(ln(1+coalesce(gross, 0)-coalesce(traded, 0)*14.6/1e4)))-1) AS total_pct FROM nd LEFT JOIN nw2 USING (trial, session_no) GROUP BY 1),
+own AS (SELECT 100*(exp(sum(ln(1+net)))-1) AS total_pct FROM nt)"""
+
+
 def null(spark, sf):
-    return st.random_null(scored(spark, sf), 10, 4, 200)
+    return st.random_null(scored(spark, sf), 10, 4, 200, COST)
 
 
-@query("random_null")
+@query("random_null", f"WITH {NULL} SELECT CAST(trial AS BIGINT) AS trial, round(total_pct, 5) AS total_pct FROM nul")
 def _(spark, sf):
-    return null(spark, sf)
+    return null(spark, sf).select(F.col("trial").cast("long").alias("trial"), fixed(F.col("total_pct"), 5).alias("total_pct"))
+
 
+_PS = (0.05, 0.25, 0.50, 0.75, 0.95)
 
-@query("null_quantiles")
+
+@query("null_quantiles", f"WITH {NULL} SELECT {', '.join(f'round(quantile_cont(total_pct, {p}), 5) AS p{round(100 * p)}' for p in _PS)} FROM nul")
 def _(spark, sf):
-    return st.null_quantiles(null(spark, sf), "total_pct")
+    d = st.null_quantiles(null(spark, sf), "total_pct", _PS)
+    return d.select(*[fixed(F.col(c), 5).alias(c) for c in d.columns])
 
 
-@query("percentile_of", f"WITH {EW} SELECT round(100.0*avg(CAST(rs < (SELECT avg(rb) FROM al2) AS INT)), 6) AS percentile FROM al2")
+@query("percentile_of", f"WITH {NULL} SELECT round(100.0*avg(CAST(total_pct < (SELECT total_pct FROM own) AS INT)), 6) AS percentile FROM nul")
 def _(spark, sf):
-    a = st.series_align(strategy(spark, sf), bench(spark, sf))
-    return st.percentile_of(a, "rs", a.agg(F.avg("rb")).scalar()).withColumn("percentile", fixed(F.col("percentile")))
+    """The strategy's place among the random selections of the same engine."""
+    rows = scored(spark, sf)
+    own = st.strategy_return(rows, 10, 4, COST).select("total_pct")
+    return st.percentile_of(st.random_null(rows, 10, 4, 200, COST), "total_pct", own.scalar()).withColumn("percentile", fixed(F.col("percentile")))
 
 
 @query("buy_and_hold", f"""WITH {q.WBARS} SELECT symbol, date, round(CASE WHEN date=max(date) OVER (PARTITION BY symbol) THEN v*(1-0.0005) ELSE v END, 5) AS value
@@ -258,9 +279,7 @@ def _(spark, sf):
     return st.cross_section_per_day(src.weekly_bars(spark, sf))
 
 
-@query("evaluator_hook", f"""WITH {REB}, pk AS (SELECT e.session_no, f.close/e.close-1 AS fwd FROM elig e JOIN reb USING (session_no) LEFT JOIN panel f ON f.symbol=e.symbol AND f.session_no=e.session_no+4
- WHERE eligible QUALIFY row_number() OVER (PARTITION BY e.session_no ORDER BY e.score DESC, e.symbol)<=10), m AS (SELECT session_no, avg(fwd) AS ret FROM pk GROUP BY 1)
-SELECT 0 AS trial, round(100*(exp(sum(ln(1+coalesce(ret, 0))))-1), 4) AS total_pct FROM m""")
+@query("evaluator_hook", f"WITH {CURVE} SELECT 0 AS trial, round(100*(max_by(curve, session_no)-1), 4) AS total_pct FROM crv")
 def _(spark, sf):
-    """The random-trial evaluator run with the strategy's own score."""
-    return st.random_null(scored(spark, sf), 10, 4, 1, F.col("score")).withColumn("total_pct", fixed(F.col("total_pct"), 4))
+    """The evaluator of the random trials run with the strategy's own targets: the last value of its curve."""
+    return st.strategy_return(scored(spark, sf), 10, 4, COST).withColumn("total_pct", fixed(F.col("total_pct"), 4))

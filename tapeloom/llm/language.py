@@ -143,5 +143,5 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows in which one learned language holds at least ``least`` of the text; ``und`` rows go. Columns stay as they are."""
     names, logp = fit(teaching(docs))
-    judged = identify(docs, names, logp, keys=tuple(docs.columns))
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    judged = identify(docs.withColumn("_row", F.struct(*docs.columns)), names, logp, keys=("_row",))
+    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")

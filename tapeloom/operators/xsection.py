@@ -135,6 +135,15 @@ def regime_score(f: DataFrame, default: str = "trend") -> DataFrame:
     return scored.withColumn("z_trend", trend).withColumn("score", total)
 
 
+def with_known_regime(rows: DataFrame, regimes: DataFrame) -> DataFrame:
+    """Rows with the family and direction of the session before theirs, the last one known when the row is decided on.
+
+    ``regimes`` has one row per session, so it is broadcast; rows without a regime before them are left out.
+    """
+    known = regimes.select((F.col("session_no") + 1).alias("session_no"), "family", "direction")
+    return rows.join(F.broadcast(known), "session_no")
+
+
 def select_universe(f: DataFrame, size: int = 250, p: GateParams = GateParams()) -> DataFrame:
     """Gate, score and keep the best ``size`` names per date."""
     passed = with_first_failed_gate(f, p).filter(F.col("gate") == "survived")

@@ -75,13 +75,13 @@ def archive_day_status(calendar: DataFrame, files: DataFrame) -> DataFrame:
         "date", status.alias("status"), F.greatest(F.coalesce(good, F.lit(0)), F.lit(0)).cast("long").alias("rows"))
 
 
-def scan_day_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows per CSV day-file with the corrupt ones counted; the day comes from the file name (yyyyMMdd)."""
+def scan_day_files(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
+    """Rows per CSV day-file with the corrupt ones counted; the day comes from the file's or its folder's name (yyyyMMdd)."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    rows = (spark.read.schema(full).option("header", True).option("mode", "PERMISSIVE")
+    rows = (spark.read.schema(full).option("header", header).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_corrupt").csv(path)
             .select("*", F.col("_metadata.file_path").alias("_file")))
-    day = F.to_date(F.regexp_extract("_file", r"(\d{8})[^/]*$", 1), "yyyyMMdd")
+    day = F.to_date(F.regexp_extract("_file", r"(\d{8})[^/]*(?:/part-[^/]*)?$", 1), "yyyyMMdd")
     blank = F.coalesce(*[F.col(c).cast("string") for c in schema.names]).isNull()
     return rows.groupBy(day.alias("date")).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_corrupt").isNotNull() | blank).alias("corrupt"))

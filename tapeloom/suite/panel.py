@@ -123,8 +123,14 @@ def _(spark, sf):
 SELECT date, CASE WHEN n IS NULL THEN 'absent' WHEN good>0 THEN 'present' ELSE 'unreadable' END AS status, coalesce(good, 0) AS rows
 FROM cal LEFT JOIN f USING (date)""")
 def _(spark, sf):
-    files = src.table(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("o_orderstatus") != "F").alias("corrupt"))
+    """Writes a file of every day with orders, the rows of open ones unreadable, and scans the files."""
+    path = scratch(spark, "days")
+    o = src.table(spark, sf, "orders")
+    line = F.concat_ws(",", F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey").cast("string")).otherwise("no number"), "o_orderstatus")
+    rows = o.select(line.alias("value"), F.date_format("o_orderdate", "yyyyMMdd").alias("day")).repartition("day")
+    rows.write.partitionBy("day").text(path)
+    schema = T.StructType([T.StructField("order_key", T.LongType()), T.StructField("status", T.StringType())])
+    files = archive.scan_day_files(spark, f"{path}/*/*", schema, header=False)
     return archive.archive_day_status(archive.weekday_calendar(_order_span(spark, sf)), files)
 
 

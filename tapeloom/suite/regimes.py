@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tapeloom.functions.frames import fixed
 from tapeloom.operators import regime as rg
 from tapeloom.operators import statistics as st
+from tapeloom.operators import xsection as xs
 from tapeloom.sources import tables as src
 from tapeloom.suite import sqlparts as q
+from tapeloom.suite.ranking import GATED, GATES, factors, score_sql
 from tapeloom.suite.register import query
 from tapeloom.suite.statistics import BREADTH
 
@@ -68,3 +70,15 @@ def _(spark, sf):
 @query("regime_shares", f"WITH {REG} SELECT family, count(*) AS sessions, round(count(*)/sum(count(*)) OVER (), 8) AS share, count(*)/sum(count(*)) OVER () >= 0.05 AS reached FROM reg GROUP BY 1")
 def _(spark, sf):
     return rg.regime_shares(table(spark, sf)).withColumn("share", fixed(F.col("share"), 8))
+
+
+_INVENTED = "['trend','range','volatile'][1+session_no%3] AS family, session_no%5%3-1 AS direction FROM factors)"
+_KNOWN = GATED.replace(_INVENTED, "rgm.family, rgm.direction FROM factors JOIN rgm ON rgm.session_no=factors.session_no-1)")
+
+
+@query("select_universe_by_regime", f"""WITH rgm AS (WITH {REG} SELECT session_no, family, direction FROM reg), {_KNOWN}, ok AS (SELECT * FROM gt WHERE gate='survived'), {score_sql('ok')}
+SELECT date, symbol, round(score, 5)+0.0 AS score FROM sc QUALIFY row_number() OVER (PARTITION BY date ORDER BY round(score, 9) DESC, symbol) <= 15""")
+def _(spark, sf):
+    """Selection with the weights and direction of the regime that was known the session before."""
+    rows = xs.with_known_regime(factors(spark, sf), table(spark, sf))
+    return xs.select_universe(rows, 15, GATES).select("date", "symbol", fixed(F.col("score"), 5).alias("score"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeloom.session import settle
+
 # Audit thresholds, severities and the marks that sort log lines.
 STALE_DAYS, WORST_STALE_DAYS, COVERAGE_GAP_DAYS, STALE_UNIVERSE_DAYS, STALE_RECORD_DAYS = 5, 14, 10, 3, 30
 CRORE = 1e7
@@ -163,7 +165,11 @@ def implied_share_check(records: DataFrame) -> DataFrame:
 
 def truncation_invariance(op: Callable[[DataFrame], DataFrame], rows: DataFrame, cut: Column, keys: Sequence[str]) -> DataFrame:
     """Rows at or before ``cut`` that differ when the operator only sees history up to it; zero for a causal operator."""
-    full = op(rows).filter(F.col("date") <= cut)
-    part = op(rows.filter(F.col("date") <= cut))
-    a, b = full.exceptAll(part), part.exceptAll(full)
-    return a.unionByName(b).agg(F.count(F.lit(1)).alias("mismatches"))
+    return truncation_mismatches(op(rows), op(rows.filter(F.col("date") <= cut)), F.col("date") <= cut)
+
+
+def truncation_mismatches(full: DataFrame, part: DataFrame, early: Column) -> DataFrame:
+    """``early`` rows in which a result on the whole history and one on the cut history differ, each way."""
+    full = settle(full.filter(early))
+    part = settle(part)
+    return full.exceptAll(part).unionByName(part.exceptAll(full)).agg(F.count(F.lit(1)).alias("mismatches"))

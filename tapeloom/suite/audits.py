@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tapeloom.functions import indicators as ind
 from tapeloom.functions.frames import fixed
 from tapeloom.operators import audits as ad
+from tapeloom.session import ensure_checkpoint_dir
 from tapeloom.sources import tables as src
 from tapeloom.suite import sqlparts as q
-from tapeloom.suite.register import query
+from tapeloom.suite.register import ORACLE, QUERIES, query
 
 
 def sidecars(spark, sf):
@@ -146,23 +148,33 @@ def _(spark, sf):
     ]).drop("severity_order")
 
 
-@query("truncation_invariance")
+#: Queries whose rows depend on the bars up to their date only; each is run on the whole and on the cut tables.
+CAUSAL = ("sma", "true_range", "atr_wilder", "ema", "rolling_slope_r2", "rolling_median_turnover", "max_abs_gap", "efficiency_ratio", "rolling_percentile", "efficiency_percentile",
+          "momentum_12_1", "horizon_returns", "range_gap_pct", "liquidity_factors", "compute_factors", "eligibility", "rank_top_n", "winsorised_z", "clenow_ranking", "atr_stop_levels",
+          "drawdown_curve", "breadth", "regime_table", "select_universe_by_regime")
+BY_DATE = ("rank_top_n", "winsorised_z", "clenow_ranking", "breadth", "regime_table", "select_universe_by_regime")
+CUT = "1998-06-01"
+
+
+def _invariance_sql():
+    short = f"FROM (SELECT * FROM lineitem WHERE CAST(date_trunc('week', l_shipdate) AS DATE) <= DATE '{CUT}')"
+    parts = []
+    for name in CAUSAL:
+        early = f"date <= DATE '{CUT}'" if name in BY_DATE else f"session_no <= (SELECT count(DISTINCT date_trunc('week', l_shipdate)) {short})"
+        full, part = f"(SELECT * FROM ({ORACLE[name]}) WHERE {early})", f"(SELECT * FROM ({ORACLE[name].replace('FROM lineitem', short)}))"
+        parts.append(f"SELECT '{name}' AS op, count(*) AS mismatches FROM (({full} EXCEPT ALL {part}) UNION ALL ({part} EXCEPT ALL {full}))")
+    return " UNION ALL ".join(parts)
+
+
+@query("truncation_invariance", _invariance_sql())
 def _(spark, sf):
-    """Mismatch counts of several windowed operators when history is cut; all zero."""
-    rows = src.panel(spark, sf)
-    cut = F.lit("1998-06-01").cast("date")
-    ops = {"sma": lambda d: d.select("symbol", "date", fixed(ind.sma("close", 5), 9).alias("v")),
-           "momentum": lambda d: d.select("symbol", "date", fixed(ind.momentum(52, 4), 9).alias("v")),
-           "true_range": lambda d: d.select("symbol", "date", fixed(ind.true_range(), 9).alias("v")),
-           "atr_wilder": lambda d: ind.atr_wilder(d).select("symbol", "date", fixed(F.col("atr"), 9).alias("v")),
-           "efficiency": lambda d: ind.with_efficiency_ratio(d, 13).select("symbol", "date", fixed(F.col("efficiency"), 9).alias("v")),
-           "eligibility": lambda d: d}
+    """Mismatch counts of the windowed queries when the tables end earlier; all zero."""
+    cut, path = F.lit(CUT).cast("date"), f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    src.table(spark, sf, "lineitem").filter(F.date_trunc("week", "l_shipdate").cast("date") <= cut).write.parquet(f"{path}/lineitem.parquet")
+    sessions = src.table(spark, path, "lineitem").select(F.countDistinct(F.date_trunc("week", "l_shipdate"))).first()[0]
     out = None
-    for name, op in ops.items():
-        if name == "eligibility":
-            from tapeloom.operators import xsection as xs
-            from tapeloom.suite.ranking import SCREEN
-            op = lambda d: xs.eligibility(d, SCREEN).select("symbol", "date", F.col("eligible").cast("double").alias("v"))
-        one = ad.truncation_invariance(op, rows, cut, ["symbol", "date"]).select(F.lit(name).alias("op"), "mismatches")
+    for name in CAUSAL:
+        early = F.col("date") <= cut if name in BY_DATE else F.col("session_no") <= sessions
+        one = ad.truncation_mismatches(QUERIES[name](spark, sf), QUERIES[name](spark, path), early).select(F.lit(name).alias("op"), "mismatches")
         out = one if out is None else out.unionByName(one)
     return out

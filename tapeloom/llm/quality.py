@@ -172,7 +172,7 @@ def judge(measured: DataFrame, refs: dict[str, tuple[list[float], list[float]]],
 
     def least(shares: Column, which: int) -> Column:
         found = [divergence(shares, r[which]) for r in refs.values()]
-        return F.round(F.array_min(F.array(*found)), 9) if found else F.lit(None).cast("double")
+        return F.array_min(F.array(*found)) if found else F.lit(None).cast("double")
 
     out = (measured.withColumn("class_divergence", F.when(n_chars >= limits.least_chars, let(of_class, lambda s: least(s, 0))))
            .withColumn("word_divergence", F.when(F.col("n_words") >= limits.least_words, let(of_word, lambda s: least(s, 1)))))
@@ -188,11 +188,52 @@ def quality(docs: DataFrame, keys: Sequence[str] = ("doc_id",), limits: Limits =
     return judge(measured, references(measured, limits), limits)
 
 
-@query("op2_quality")
+def _oracle(limits: Limits = Limits()) -> str:
+    """The same measures, references and divergences as joins over exploded words, windows and classes."""
+    listed = ", ".join(f"('{lang}', '{word}', {VOCABULARY.index(word) + 1})" for lang, words_ in COMMON_WORDS.items() for word in words_)
+    places = ", ".join(f"('{v}', {i + 1})" for i, v in enumerate(VOCABULARY))
+    steps, rest = [], "t"
+    for i, pattern in enumerate(CLASSES.values()):
+        quoted = pattern.replace("\\'", "'").replace("'", "''")
+        steps.append(f"c{i} AS (SELECT *, regexp_replace({rest}, '{quoted}', '', 'g') AS r{i} FROM {'w' if i == 0 else f'c{i - 1}'})")
+        rest = f"r{i}"
+    last = len(CLASSES) - 1
+    sizes = ["length(t)", *[f"length(r{i})" for i in range(last + 1)], "0"]
+    cells = " UNION ALL ".join(f"SELECT doc_id, 'class' AS kind, {i + 1} AS place, {a} - {b} AS n FROM c{last}" for i, (a, b) in enumerate(zip(sizes, sizes[1:])))
+    return r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]'), lambda x: x <> '') AS w FROM documents),
+""" + ",\n".join(steps) + r""",
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+dup AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM dup, range(8) r(k) GROUP BY 1),
+ln AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+base AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+ len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, length(t) AS n_chars, len(w) < 20 OR 100 * coalesce(cov.n, 0) > 30 * len(w) AS base_failed
+ FROM w JOIN ln USING (doc_id) LEFT JOIN cov USING (doc_id)),
+vo(word, place) AS (VALUES @places), li(lang, word, place) AS (VALUES @listed),
+tok AS (SELECT doc_id, lower(trim(x, '.,;:!?''"()-')) AS word FROM (SELECT doc_id, unnest(w) AS x FROM w)),
+cm AS (SELECT doc_id, place, count(*) AS n FROM tok JOIN vo USING (word) GROUP BY ALL),
+cell AS (@cells UNION ALL SELECT doc_id, 'word', place, n FROM cm
+ UNION ALL SELECT doc_id, 'word', @other, n_words - coalesce((SELECT sum(n) FROM cm WHERE cm.doc_id = base.doc_id), 0) FROM base),
+best AS (SELECT doc_id, max_by(lang, (n, lang)) AS lang FROM (SELECT doc_id, lang, sum(n) AS n FROM cm JOIN li USING (place) GROUP BY ALL) GROUP BY 1),
+ref AS (SELECT lang, kind, place, sum(n) AS n FROM cell JOIN best USING (doc_id) JOIN base USING (doc_id) WHERE NOT base_failed AND n_words >= @words GROUP BY ALL),
+share AS (SELECT lang, kind, place, n / sum(n) OVER (PARTITION BY lang, kind) AS q FROM ref),
+p AS (SELECT doc_id, kind, place, n / CASE kind WHEN 'class' THEN n_chars ELSE n_words END AS p FROM cell JOIN base USING (doc_id)
+ WHERE n > 0 AND CASE kind WHEN 'class' THEN n_chars >= @chars ELSE n_words >= @words END),
+dv AS (SELECT doc_id, kind, l.lang, sum(p / 2 * log2(2 * p / (p + coalesce(q, 0))) + CASE WHEN q > 0 THEN q / 2 * log2(2 * q / (p + q)) ELSE 0 END) + (1 - sum(coalesce(q, 0))) / 2 AS d
+ FROM p CROSS JOIN (SELECT DISTINCT lang FROM share) l LEFT JOIN share USING (lang, kind, place) GROUP BY ALL),
+mn AS (SELECT doc_id, min(d) FILTER (WHERE kind = 'class') AS class_divergence, min(d) FILTER (WHERE kind = 'word') AS word_divergence FROM dv GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(class_divergence, 7) AS class_divergence, round(word_divergence, 7) AS word_divergence,
+ NOT base_failed AND NOT coalesce(class_divergence > @cd + @cs / n_chars, false) AND NOT coalesce(word_divergence > @wd + @ws / n_words, false) AS kept
+FROM base LEFT JOIN mn USING (doc_id)""".replace("@places", places).replace("@listed", listed).replace("@cells", cells).replace("@other", str(len(VOCABULARY) + 1)).replace(
+        "@words", str(limits.least_words)).replace("@chars", str(limits.least_chars)).replace("@cd", str(limits.class_divergence)).replace(
+        "@cs", str(limits.class_slack)).replace("@wd", str(limits.word_divergence)).replace("@ws", str(limits.word_slack))
+
+
+@query("op2_quality", _oracle())
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "class_divergence", "word_divergence")
+        F.round("class_divergence", 7).alias("class_divergence"), F.round("word_divergence", 7).alias("word_divergence"))
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:

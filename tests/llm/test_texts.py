@@ -45,7 +45,7 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-@pytest.mark.parametrize("name", ["op6_neardup", "op7_mixture"])
+@pytest.mark.parametrize("name", ["op2_quality", "op6_neardup", "op7_mixture"])
 def test_query_equals_sql(spark, name):
     queries, oracle = load_all()
     con = duckdb.connect()

@@ -70,8 +70,9 @@ def measured(pairs: DataFrame, sets: Sets) -> DataFrame:
     ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     full = keep(sets(ids))
     other = full.select(F.col("doc_id").alias("a"), F.col("set").alias("_a"))
-    both = (pairs.join(full.select(F.col("doc_id").alias("b"), F.col("set").alias("_b")), "b").join(other, "a")
-            .select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("common"), (F.size("_a") + F.size("_b")).alias("_n")))
+    # Written before the aggregate, which would else hold the join to whole hubs.
+    both = keep(pairs.join(full.select(F.col("doc_id").alias("b"), F.col("set").alias("_b")), "b").join(other, "a")
+                .select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("common"), (F.size("_a") + F.size("_b")).alias("_n")))
     union = F.col("_n") - F.col("common")
     one = both.select("a", "b", "common", union.alias("union"), (100 * F.col("common") >= PERCENT * union).alias("linked"))
     return keep(one.groupBy("a", "b").agg(F.max("common").alias("common"), F.min("union").alias("union"), F.max("linked").alias("linked")))

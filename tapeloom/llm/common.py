@@ -54,10 +54,24 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+def short_batches(df: DataFrame, most: int = 1000) -> DataFrame:
+    """The frame, after limiting the rows that its session hands to Python at once: texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= most:
+        df.sparkSession.conf.set(name, str(most))
+    return df
+
+
+def column(batch: pa.RecordBatch, path: str) -> pa.Array:
+    """A column, or with a dotted path a field of a struct column."""
+    name, _, inner = path.partition(".")
+    return batch.column(name).field(inner) if inner else batch.column(name)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that their texts hold about ``most`` bytes; a longer text is a batch of its own."""
     for batch in batches:
-        sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64))
+        sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column(batch, text)), 0), dtype=np.int64))
         start = 0
         while start < batch.num_rows:
             before = sizes[start - 1] if start else 0

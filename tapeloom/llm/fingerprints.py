@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.common import chunks, documents, keep, texts_of
+from tapeloom.llm.common import chunks, documents, keep, short_batches, texts_of
 from tapeloom.llm.links import link
 from tapeloom.llm.neardup import full_sets
 from tapeloom.llm.shingles import band_keys, minhash_signatures, set_keys, shingle_sets
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str
             found = signatures(texts_of(batch.column("_text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array([row.tobytes().hex() for row in found], pa.string())], names=schema.names)
 
-    return docs.select(*keys, F.col(text).alias("_text")).mapInArrow(work, schema)
+    return short_batches(docs).select(*keys, F.col(text).alias("_text")).mapInArrow(work, schema)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(offsets[1:] - offsets[:-1]), pa.array(set_keys(flat, offsets), pa.binary()), lists],
                                              names=["doc_id", "n", "set_key", "bands"])
 
-    rows = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n long, set_key binary, bands array<long>"))
+    rows = keep(short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n long, set_key binary, bands array<long>"))
     return (rows.join(link(rows, lambda ids: full_sets(docs, ids)), "set_key", "left")
             .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
 
@@ -122,7 +122,7 @@ def edited_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:
                 "fingerprint": [row.tobytes().hex() for row in mine], "edited_fingerprint": [row.tobytes().hex() for row in changed],
                 "near_edited": likeness(mine, changed), "near_next": likeness(mine, prints[[k + 1 for k in own]])})
 
-    return laid.mapInArrow(work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return short_batches(laid).mapInArrow(work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 @query("op10_fingerprints")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.common import chunks, documents, id_crc, joined_bytes, texts_of
+from tapeloom.llm.common import chunks, column, documents, id_crc, joined_bytes, short_batches, texts_of
 from tapeloom.llm.suite import query
 
 #: Hash buckets of a trigram.
@@ -63,7 +63,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[s
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"lang": [name] * len(at), "bucket": at.astype(np.int32), "n": total[at].astype(np.int64)})
 
-    rows = (docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    rows = (short_batches(docs).select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
             .mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
     names = sorted(rows["lang"].unique())
     table = np.full((len(names), BUCKETS), 0.5)
@@ -101,14 +101,18 @@ def mixtures(counts: np.ndarray, logp: np.ndarray, rounds: int, most: int, penal
 
 def identify(docs: DataFrame, names: list[str], logp: np.ndarray, rounds: int = 8, most: int = 3, penalty: float = 4.0,
              text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keys`` with lang_pred (largest proportion of the chosen set), score (that proportion) and langs (the set)."""
-    given = docs.select(*keys, F.col(text).alias("_text"))
+    """``keys`` with lang_pred (largest proportion of the chosen set), score (that proportion) and langs (the set).
+
+    ``text`` may be a field of a struct among the keys ("row.text"), which then is not sent twice.
+    """
+    inside = text.partition(".")[0] in keys
+    given, path = short_batches(docs.select(*keys) if inside else docs.select(*keys, F.col(text).alias("_text"))), text if inside else "_text"
     schema = T.StructType([*docs.select(*keys).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                            T.StructField("langs", T.StringType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_text"):
-            texts = texts_of(batch.column("_text"))
+        for batch in chunks(batches, path):
+            texts = texts_of(column(batch, path))
             preds, scores, sets = [UNKNOWN] * len(texts), np.zeros(len(texts)), [""] * len(texts)
             lettered = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if names else []
             for at in range(0, len(lettered), 256):
@@ -143,5 +147,5 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows in which one learned language holds at least ``least`` of the text; ``und`` rows go. Columns stay as they are."""
     names, logp = fit(teaching(docs))
-    judged = identify(docs.withColumn("_row", F.struct(*docs.columns)), names, logp, keys=("_row",))
+    judged = identify(docs.select(F.struct(*docs.columns).alias("_row")), names, logp, keys=("_row",), text="_row.text")
     return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")

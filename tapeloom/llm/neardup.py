@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import chunks, documents, keep, texts_of
+from tapeloom.llm.common import chunks, documents, keep, short_batches, texts_of
 from tapeloom.llm.links import link
 from tapeloom.llm.shingles import band_keys, fast_similarity_sketch, set_keys, shingle_sets
 from tapeloom.llm.suite import query
@@ -37,7 +37,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(offsets[1:] - offsets[:-1]), pa.array(set_keys(flat, offsets), pa.binary()), lists],
                                              names=["doc_id", "n", "set_key", "bands"])
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    given = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return given.mapInArrow(work, "doc_id long, n long, set_key binary, bands array<long>")
 
 
@@ -49,7 +49,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view("int64")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], names=["doc_id", "set"])
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    given = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     return given.mapInArrow(work, "doc_id long, set array<long>")
 
 

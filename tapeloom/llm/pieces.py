@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.common import chunks, documents
+from tapeloom.llm.common import chunks, documents, short_batches
 from tapeloom.llm.suite import query
 
 MARK = "▁"
@@ -38,8 +38,8 @@ MARK = "▁"
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: Piece kinds of the model format: ordinary, unknown, control, byte.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Stretches whose ids a worker keeps, and the longest stretch that is kept.
-MEMO, MEMO_CHARS = 300_000, 64
+#: Stretches whose ids a worker keeps, the longest that is kept, pairs of pieces it keeps, bytes of text taken at once.
+MEMO, MEMO_CHARS, PAIRS, CHUNK = 100_000, 64, 250_000, 1 << 18
 _STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -184,7 +184,7 @@ class Transducer:
         at = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
         miss = self.pair_keys[at] != keys
         if miss.any():
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             pieces = self.model.pieces
             new = np.unique(keys[miss])
@@ -324,7 +324,7 @@ def encode(docs: DataFrame, model: bytes, keys: tuple[str, ...] = ("doc_id",), t
     """``keys``, n_tokens, n_bytes (byte pieces among them) and ids of every row; with ``verify`` also round_trip,
     whether decoding the ids gives the text again."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.select(*keys, F.col(text).alias("_text"))
+    given = short_batches(docs.select(*keys, F.col(text).alias("_text")))
     more = [T.StructField("n_tokens", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     more += [T.StructField("round_trip", T.BooleanType())] if verify else []
     schema = T.StructType([*docs.select(*keys).schema.fields, *more])
@@ -333,7 +333,7 @@ def encode(docs: DataFrame, model: bytes, keys: tuple[str, ...] = ("doc_id",), t
         transducer = compiled(shipped.value)
         is_byte = np.zeros(transducer.barrier + 1, bool)
         is_byte[list(transducer.byte_ids.values())] = True
-        for batch in chunks(batches, "_text"):
+        for batch in chunks(batches, "_text", CHUNK):
             texts = batch.column("_text").to_pylist()
             raw = transducer.encode([t or "" for t in texts])
             counts = np.array([len(r) // 4 for r in raw], np.int64)
@@ -362,7 +362,7 @@ def decode(rows: DataFrame, model: bytes, keys: tuple[str, ...] = ("doc_id",), i
             back = [None if i is None else transducer.decode(i) for i in batch.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(back, pa.string())], names=schema.names)
 
-    return rows.select(*keys, F.col(ids).alias("_ids")).mapInArrow(work, schema)
+    return short_batches(rows).select(*keys, F.col(ids).alias("_ids")).mapInArrow(work, schema)
 
 
 @query("op5_pieces")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.common import chunks, documents, id_crc, joined_bytes, mix, texts_of
+from tapeloom.llm.common import chunks, documents, id_crc, joined_bytes, mix, short_batches, texts_of
 from tapeloom.llm.shingles import powers
 from tapeloom.llm.suite import query
 
@@ -167,7 +167,7 @@ def score(docs: DataFrame, scorer: Scorer, keys: tuple[str, ...] = ("doc_id",),
             got = shipped.value.scores(texts_of(batch.column("_text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=schema.names)
 
-    return docs.select(*keys, F.col(text).alias("_text")).mapInArrow(work, schema)
+    return short_batches(docs).select(*keys, F.col(text).alias("_text")).mapInArrow(work, schema)
 
 
 @query("op4_toxicity")

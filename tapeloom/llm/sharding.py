@@ -3,7 +3,7 @@
 Records are ordered by a key that starts with the crc32 of the text, so equal texts stand together and unequal ones
 spread. A size-weighted sample of keys is drawn (a record of s bytes is drawn as often as s bytes of an evenly sampled
 stream would be), its quantiles cut the key space into fine ranges, and a range that turns out overfull is subdivided
-by a denser sample from it. Whole fine ranges are then dealt to the shards in key order, by the middle of each in the
+by a denser sample from it, and a record that fills a range becomes a range of its own. Whole fine ranges are then dealt to the shards in key order, by the middle of each in the
 running bytes; slots count on through a shard's ranges. Only sampled keys and one row per fine range reach the driver.
 
 The law is ``bytes``. A shard differs from the mean by at most about one fine range, 1/256 of a shard, or one record if
@@ -55,23 +55,25 @@ def range_column(splitters: np.ndarray):
     return find("key")
 
 
-def splitters_for(rows: DataFrame, fine: int, most_rounds: int = 4) -> tuple[np.ndarray, pd.DataFrame]:
-    """Splitters into about ``fine`` ranges, and each range's bytes and rows."""
+def splitters_for(rows: DataFrame, fine: int) -> tuple[np.ndarray, pd.DataFrame]:
+    """Splitters into about ``fine`` ranges, and each range's bytes and rows, measured for just these splitters.
+
+    An overfull range is cut on both sides of each key that fills a range alone, at the keys of a denser sample and at
+    the middle of its keys, so every round halves its keys at least, and the rounds end.
+    """
     total = int(rows.agg(F.sum("size")).first()[0] or 0)
     splitters = np.unique(sampled_keys(rows, total, fine * DRAWS)[DRAWS // 2::DRAWS])
-    for _ in range(most_rounds):
+    while True:
         measured = (rows.groupBy(range_column(splitters).alias("range")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"),
                     F.min("key").alias("low"), F.max("key").alias("high")).toPandas().sort_values("range", ignore_index=True))
         over = measured[(measured["bytes"] > 2 * total / fine) & (measured["low"] < measured["high"])]
         if over.empty:
-            break
+            return splitters, measured
         inside = rows.filter(range_column(splitters).isin([int(r) for r in over["range"]]))
         dense = sampled_keys(inside, int(over["bytes"].sum()), DRAWS * max(2, int(4 * fine * over["bytes"].sum() / total)))
-        more = np.unique(np.concatenate([splitters, dense[DRAWS // 2::DRAWS], over["high"].to_numpy(np.int64)]))
-        if len(more) == len(splitters):
-            break
-        splitters = more
-    return splitters, measured
+        heavy = inside.groupBy("key").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > total / fine).toPandas()["key"].to_numpy(np.int64)
+        low, high = over["low"].to_numpy(np.int64), over["high"].to_numpy(np.int64)
+        splitters = np.unique(np.concatenate([splitters, dense[DRAWS // 2::DRAWS], heavy, heavy[heavy < np.iinfo(np.int64).max] + 1, low + (high - low) // 2 + 1]))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, fine: int = FINE) -> DataFrame:

@@ -296,6 +296,21 @@ def test_shards_are_even_and_gapless(spark, odd, none):
     assert (got[1]["size"], got[1]["text_crc32"]) == (1, 0) and got[7]["text_crc32"] == zlib.crc32(b"one two") and sharding.shard(none).count() == 0
 
 
+def test_shards_with_very_long_documents(spark):
+    texts = [f"{i} " * 30000 if i % 100 == 0 else f"short {i}" for i in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, total = sharding.shard(docs, 4).collect(), sum(len(t) + 1 for t in texts)
+    for s in range(4):
+        mine = [r for r in rows if r["shard"] == s]
+        assert sorted(r["slot"] for r in mine) == list(range(len(mine)))
+        assert abs(sum(r["size"] for r in mine) - total / 4) <= max(map(len, texts)) + total / 256
+    light = sharding.keyed(docs).cache()
+    splitters, ranges = sharding.splitters_for(light, 1024)
+    keys = [r["key"] for r in light.select("key").collect()]
+    assert dict(zip(ranges["range"], ranges["rows"], strict=True)) == Counter(np.searchsorted(splitters, keys, side="right").tolist())
+    assert ((ranges["bytes"] <= 2 * total / 1024) | (ranges["rows"] == 1)).all()
+
+
 def test_urls_rules_and_mined_rules(spark):
     odd = [(1, None), (2, "no host"), (3, "http://WWW.Example.com/en/1?x=/net/"), (4, "https://a.example.com/en/"), (5, "http://example.net/fr/x#y"), (6, "x://com"), (7, "ftp://b.com/"), (7, "ftp://b.com/")]
     bad = [(100 + i, f"http://m{i % 7}.bad.org/{'deal' if i % 2 else 'news'}/{i}") for i in range(400)]

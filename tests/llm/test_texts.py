@@ -272,6 +272,22 @@ def test_mixture_meets_targets(spark, odd, none):
     assert mixture.materialise(odd).columns == odd.columns and mixture.materialise(none).count() == 0
 
 
+def test_mixture_meets_targets_of_small_sources(spark):
+    rows = ([(i, "w " * (1000 + i % 7), f"a{i % 3}") for i in range(3000)] + [(3000 + i, "w " * 100, "b") for i in range(12)]
+            + [(4000, "w " * 300, "c"), (4001, "w w w", "d"), (4002, "w", None)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source_of = {r[0]: r[2] for r in rows}
+    for bits in (6, 10, 19, 20):
+        got = mixture.mix(docs, bits).collect()
+        assert len(got) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+        for source in set(source_of.values()):
+            mine = [r for r in got if source_of[r["doc_id"]] == source]
+            width = 1.5 * sum(r["size"] for r in got) / 2**bits
+            assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= (0.5 if width >= 8 or mine[0]["target"] < 1024 * width else 3 * width)
+    kept = Counter(r["doc_id"] for r in mixture.materialise(docs, 6).collect())
+    assert kept == Counter({r["doc_id"]: r["copies"] for r in mixture.mix(docs, 6).collect() if r["copies"]}) and kept[4000] == kept[4001] == kept[4002] == 2
+
+
 def test_schedule_is_spread(spark):
     targets = spark.createDataFrame([(0, 900, 600.0), (1, 600, 300.0), (2, 600, 124.0)], "source_no long, source_size long, target double")
     slots = sorted((r["slot"], r["source_no"]) for r in mixture.slots(targets, 1024.0, 10).collect())

@@ -55,7 +55,11 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    rows = keep(sketches(docs))
+    return judged(docs, keep(sketches(docs)))
+
+
+def judged(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The same from the sketches of ``docs``, which are written."""
     found = link(rows, lambda ids: full_sets(docs, ids))
     out = rows.select("doc_id", "n", "set_key").join(found, "set_key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -86,12 +90,28 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each group, columns as they are; of rows that repeat a doc_id one stays."""
-    found = near_duplicates(docs)
-    gone = keep(found.filter("NOT kept").select("doc_id").distinct())
+    """One document of each group, columns as they are. Rows that repeat a doc_id are judged each by its own text."""
+    rows = keep(sketches(docs))
+    again = keep(rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c"), (F.min("set_key") < F.max("set_key")).alias("_differ")).filter("_c > 1"))
+    if not again.filter("_differ").isEmpty():
+        return _one_of_each_row(docs)
+    gone = keep(judged(docs, rows).filter("NOT kept").select("doc_id").distinct())
     out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = keep(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("doc_id"))
+    again = again.select("doc_id")
     if again.isEmpty():
         return out
     return out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(
         out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+
+
+def _one_of_each_row(docs: DataFrame) -> DataFrame:
+    """One row of each group where a doc_id has several texts: rows are written with numbers that stand for the ids in the linking."""
+    own = keep(docs.select(F.struct(*docs.columns).alias("_row")).withColumn("_no", F.monotonically_increasing_id()))
+    named = own.filter("_row.doc_id IS NOT NULL")
+    found = near_duplicates(named.select(F.col("_no").alias("doc_id"), "_row.text")).select(F.col("doc_id").alias("_no"), "n_shingles", "component_id")
+    with_ids = keep(found.join(named.select("_no", F.col("_row.doc_id").alias("_id")), "_no"))
+    # the smallest id of a component stays, and of texts without shingles each id once
+    group = [F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_component"), F.when(F.col("n_shingles") == 0, F.col("_id")).alias("_alone")]
+    stays = with_ids.groupBy(*group).agg(F.min(F.struct("_id", "_no")).alias("_first")).select("_first._no")
+    gone = keep(with_ids.select("_no").join(stays, "_no", "left_anti"))
+    return own.join(gone, "_no", "left_anti").select("_row.*")

@@ -109,6 +109,25 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert neardup.near_duplicates(none).count() == 0 and neardup.keep_one_of_each(none).count() == 0
 
 
+def test_one_of_each_where_an_id_has_two_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b + " more"), (4, c), (4, c + " more"), (5, ""), (5, c), (None, a), (None, a), (6, None), (6, " ")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    left = Counter((r["doc_id"], r["text"]) for r in neardup.keep_one_of_each(docs).collect())
+    assert sum(n for (i, _), n in left.items() if i == 4) == 1 and sum(n for (i, _), n in left.items() if i == 6) == 1
+    assert {k: n for k, n in left.items() if k[0] not in (4, 6)} == {(1, a): 1, (2, b): 1, (5, ""): 1, (None, a): 2}
+
+
+def test_materialise_repeats_each_row_of_an_id_by_its_own_copies(spark):
+    rows = [(i % 7 or None, f"t{i % 40} " * (1 + i % 5), "ab"[i % 3 == 0]) for i in range(280)] + [(None, "x y z", "c")] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wanted = Counter()
+    for r in mixture.mixed(docs, text=F.col("text"), source=F.col("source")).collect():
+        wanted[r["doc_id"], r["text"], r["source"]] += r["copies"]
+    got = Counter((r["doc_id"], r["text"], r["source"]) for r in mixture.materialise(docs).collect())
+    assert got == +wanted and wanted[None, "x y z", "c"] % 1000
+
+
 def test_edited_likeness_equals_plain(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"]: r for r in fingerprints.edited_likeness(docs, 7).collect()}

@@ -2,7 +2,7 @@
 
 Every language has a smoothed distribution over hashed byte trigrams, counted over all labelled documents. A document
 is taken for a mixture of languages: expectation-maximisation estimates the proportions from the trigram likelihoods,
-for the full set of languages and for the nested sets of the most likely one, two, three..., and the set with the
+for the full set of languages and for the nested sets of the most likely one, two, three... of every size, and the set with the
 least penalised negative likelihood (a BIC with an effective sample size, since trigrams overlap) is chosen.
 
 Cases: a null text or one without a letter is ``und`` with score 0; rows without a language, or with a null doc_id,
@@ -72,8 +72,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[s
     return names, np.log(table / table.sum(axis=1, keepdims=True))
 
 
-def mixtures(counts: np.ndarray, logp: np.ndarray, rounds: int, most: int, penalty: float) -> np.ndarray:
-    """Proportions (texts x languages) of the chosen language set of each text."""
+def mixtures(counts: np.ndarray, logp: np.ndarray, rounds: int, most: int | None, penalty: float) -> np.ndarray:
+    """Proportions (texts x languages) of the chosen language set of each text, of at most ``most`` languages or all of them."""
     p = np.exp(logp - logp.max(axis=0, keepdims=True)).astype(np.float32)
     total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
     shift = counts @ logp.max(axis=0).astype(np.float32)
@@ -89,7 +89,7 @@ def mixtures(counts: np.ndarray, logp: np.ndarray, rounds: int, most: int, penal
     rank = np.argsort(order, axis=1, kind="stable")
     effective = np.maximum(total[:, 0] / 3, 2)
     best, cost = full, -like + penalty * len(p) * np.log(effective)
-    for k in range(min(most, len(p) - 1), 0, -1):
+    for k in range(len(p) - 1 if most is None else min(most, len(p) - 1), 0, -1):
         mask = (rank < k).astype(np.float32)
         pi, like = (mask, counts @ logp.astype(np.float32).T) if k == 1 else em(mask / k)
         like = (like * mask).sum(axis=1) if k == 1 else like
@@ -99,7 +99,7 @@ def mixtures(counts: np.ndarray, logp: np.ndarray, rounds: int, most: int, penal
     return best
 
 
-def identify(docs: DataFrame, names: list[str], logp: np.ndarray, rounds: int = 8, most: int = 3, penalty: float = 4.0,
+def identify(docs: DataFrame, names: list[str], logp: np.ndarray, rounds: int = 8, most: int | None = None, penalty: float = 4.0,
              text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys`` with lang_pred (largest proportion of the chosen set), score (that proportion) and langs (the set).
 

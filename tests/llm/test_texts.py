@@ -255,6 +255,19 @@ def test_language_mixture_names_both(spark):
     assert {x.split(":")[0] for x in language.identify(both, names, logp).collect()[0]["langs"].split(",")} >= {"de", "en"}
 
 
+def test_language_mixture_of_four_of_six(spark):
+    draw = random.Random(5)
+    common, *lists = [["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)] for _ in range(7)]
+    lists = [common + own for own in lists]
+    said = lambda k, n: " ".join(draw.choice(lists[k]) for _ in range(n))
+    docs = spark.createDataFrame([(i, said(i % 6, 80), f"l{i % 6}") for i in range(120)], "doc_id long, text string, lang string")
+    mixed = [(n, " ".join(said(k, 80) for k in range(n))) for n in range(1, 7)]
+    names, logp = language.fit(docs)
+    got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(mixed, "doc_id long, text string"), names, logp).collect()}
+    for n, _ in mixed:
+        assert [x.split(":")[0] for x in sorted(got[n]["langs"].split(","))] == [f"l{k}" for k in range(n)] and abs(got[n]["score"] - 1 / n) < 0.1
+
+
 def test_toxicity_learns_words_and_misspellings(odd, none):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(2, 9))) for _ in range(400)]

@@ -95,6 +95,8 @@ class Model:
                 prefix, squeeze = bool(rules.get(3, 1)), bool(rules.get(4, 1))
                 if rules.get(2):
                     raise ValueError("only models without a character map are compiled")
+        if USER in kinds:
+            raise ValueError("only models without user-defined pieces are compiled")
         return Model(pieces, scores, kinds, bpe, prefix, squeeze)
 
 

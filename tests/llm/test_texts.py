@@ -219,6 +219,13 @@ def test_pieces_equal_the_library(spark, odd, none):
     assert pieces.encode(none, model).count() == 0
 
 
+def test_models_with_user_defined_pieces_are_refused():
+    piece = lambda text, kind: b"\x0a" + bytes([len(text) + 4]) + b"\x0a" + bytes([len(text)]) + text + b"\x18" + bytes([kind])
+    assert pieces.Model.parse(piece(b"ab", 1) + piece(b"<s>", 3)).pieces == ["ab", "<s>"]
+    with pytest.raises(ValueError):
+        pieces.Model.parse(piece(b"ab", 1) + piece(b"<sep>", 4))
+
+
 def test_unigram_weights_are_a_shortest_path():
     model = pieces.Model(["<unk>", "a", "b", "ab", "aba", "▁", "▁a"], [0, -1.0, -1.5, -2.0, -2.4, -0.5, -2.0], [2, 1, 1, 1, 1, 1, 1], False, True, False)
     made = pieces.Transducer(model)

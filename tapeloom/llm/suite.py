@@ -11,7 +11,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ("chat", "quality", "urls", "toxicity", "pieces", "neardup", "mixture", "language", "sharding", "fingerprints")
+MODULES = ("chat", "quality", "urls", "toxicity", "pieces", "neardup", "mixture", "language", "sharding", "fingerprints",
+           "pii")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -12,7 +12,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 MODULES = ("chat", "quality", "urls", "toxicity", "pieces", "neardup", "mixture", "language", "sharding", "fingerprints",
-           "alignment", "pii")
+           "alignment", "turns", "pii")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

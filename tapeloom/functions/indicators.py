@@ -1,7 +1,7 @@
 """Indicators as columns over all series at once.
 
-``recursive_means`` is the one place that needs Python: an exponential recursion is not a window aggregate. It runs
-as a grouped map, linear in the rows of a series, and a series has at most one row per session.
+``recursive_means`` is the one place that needs Python: an exponential recursion is not a window aggregate. It is a scan
+of affine maps over ranges of rows (``plans/scans.py``), so no series has to fit one task.
 """
 
 from __future__ import annotations
@@ -9,29 +9,19 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tapeloom.functions.frames import lookback, median_of, ratio, rolling
+from tapeloom.plans.scans import exponential_means
 
 SESSIONS_PER_YEAR = 252
 
 
 def recursive_means(df: DataFrame, keys: Sequence[str], order: str, specs: Mapping[str, tuple[str, float, int]]) -> DataFrame:
     """Add exponential means x̄ₜ = x̄ₜ₋₁ + α(xₜ − x̄ₜ₋₁); ``specs``: name -> (column, α, values needed)."""
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in specs]])
-    todo = dict(specs)
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(**{name: pdf[col].astype("float64").ewm(alpha=alpha, adjust=False, min_periods=least).mean()
-                             for name, (col, alpha, least) in todo.items()})
-
-    out = df.groupBy(*keys).applyInPandas(scan, schema)
-    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in specs})
+    return exponential_means(df, keys, order, specs)
 
 
 def sma(col: str, length: int, *keys: str) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapeloom.plans.ordered import last_known
+
 # Fixed value: symbols the exchange lists for its own tests.
 TEST_SYMBOL = "NSETEST"
 
@@ -69,8 +71,7 @@ def align_calendar(bars: DataFrame, fields: Sequence[str] = ("close",)) -> DataF
 
 def mark_ffill(aligned: DataFrame, col: str = "close", name: str = "mark") -> DataFrame:
     """Last known value for marking; never an input to a decision."""
-    w = Window.partitionBy("symbol").orderBy("session_no").rowsBetween(Window.unboundedPreceding, 0)
-    return aligned.withColumn(name, F.last(col, ignorenulls=True).over(w))
+    return last_known(aligned, ["symbol"], ["session_no"], {name: col})
 
 
 def derive_turnover(bars: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from tapeloom.functions import indicators as ind
 from tapeloom.functions.frames import finite, median_of, ratio
 from tapeloom.operators.calendars import round_tick
+from tapeloom.plans.ordered import last_known
 
 LONG, SHORT = "long", "short"
 MIN_STOP_FRACTION, MAX_STOP_FRACTION = 0.0025, 0.030
@@ -66,9 +67,8 @@ def asof_strictly_before(daily: DataFrame, days: DataFrame, atr_length: int = 14
         "symbol", "trade_date", F.struct(F.col("close").alias("prev_close"), "atr_daily", "median_volume").alias("_ctx"), F.lit(1).alias("_kind"))
     asked = days.select("symbol", "trade_date").distinct().withColumn("_kind", F.lit(0))
     both = asked.unionByName(known, allowMissingColumns=True)
-    seen = F.last("_ctx", ignorenulls=True).over(
-        Window.partitionBy("symbol").orderBy("trade_date", "_kind").rowsBetween(Window.unboundedPreceding, -1))
-    return both.withColumn("_seen", seen).filter("_kind = 0").select("symbol", "trade_date", "_seen.prev_close", "_seen.atr_daily", "_seen.median_volume")
+    carried = last_known(both, ["symbol"], ["trade_date", "_kind"], {"_seen": "_ctx"}, strictly=True)
+    return carried.filter("_kind = 0").select("symbol", "trade_date", "_seen.prev_close", "_seen.atr_daily", "_seen.median_volume")
 
 
 def asof_last_known_mark(bars: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def asof_last_known_mark(bars: DataFrame) -> DataFrame:
     grid = started.join(timeline, "trade_date").select("symbol", "trade_date", "_first", F.explode("_times").alias("bar_ts"))
     marks = (grid.filter(F.col("bar_ts") >= F.col("_first"))
              .join(bars.select("symbol", "trade_date", "bar_ts", "close"), ["symbol", "trade_date", "bar_ts"], "left"))
-    return marks.withColumn("mark", F.last("close", ignorenulls=True).over(session_window(upto=True))).drop("_first")
+    return last_known(marks.drop("_first"), ["symbol", "trade_date"], ["bar_ts"], {"mark": "close"})
 
 
 def session_vwap() -> Column:

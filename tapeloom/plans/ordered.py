@@ -75,6 +75,22 @@ def running_max(df: DataFrame, group: Sequence[str], order: Sequence[Column], va
     return joined.select(*df.columns, F.greatest("_own", "_before").alias(name))
 
 
+def last_known(df: DataFrame, group: Sequence[str], order: Sequence[str], values: Mapping[str, str], strictly: bool = False) -> DataFrame:
+    """Latest value that is not null up to each row in ``order`` (unique inside the group), or before it when ``strictly``.
+
+    ``values``: name -> column. A range is scanned on its own; what it lacks it takes from the last value of the earlier
+    ranges of its group.
+    """
+    laid = lay_out(df, group, [F.col(o) for o in order])
+    inside = Window.partitionBy(*group, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strictly else 0)
+    earlier = Window.partitionBy(*group).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct(*order)
+    ends = laid.groupBy(*group, PART).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_end_{n}") for n, c in values.items()])
+    carried = ends.select(*group, PART, *[F.last(f"_end_{n}", ignorenulls=True).over(earlier).alias(f"_carried_{n}") for n in values])
+    own = laid.select("*", *[F.last(c, ignorenulls=True).over(inside).alias(f"_own_{n}") for n, c in values.items()])
+    return own.join(carried, [*group, PART]).select(*df.columns, *[F.coalesce(f"_own_{n}", f"_carried_{n}").alias(n) for n in values])
+
+
 def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Distinct values per group: how often they occur, how many rows lie below them, and the group's rows.
 

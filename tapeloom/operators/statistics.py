@@ -225,8 +225,8 @@ def strategy_return(scored: DataFrame, n: int, step: int, cost_bps: float = 0.0)
 
 
 def percentile_of(sample: DataFrame, col: str, value: Column) -> DataFrame:
-    """Share (0..100) of the sample strictly below ``value``."""
-    return sample.agg((100.0 * F.avg((F.col(col) < value).cast("double"))).alias("percentile"))
+    """Share (0..100) of the sample strictly below ``value``; what differs in the order of additions only is equal."""
+    return sample.agg((100.0 * F.avg((F.round(col, 9) < F.round(value, 9)).cast("double"))).alias("percentile"))
 
 
 def null_quantiles(sample: DataFrame, col: str, probs: Sequence[float] = (0.05, 0.25, 0.50, 0.75, 0.95)) -> DataFrame:

@@ -225,7 +225,7 @@ def _(spark, sf):
     return d.select(*[fixed(F.col(c), 5).alias(c) for c in d.columns])
 
 
-@query("percentile_of", f"WITH {NULL} SELECT round(100.0*avg(CAST(total_pct < (SELECT total_pct FROM own) AS INT)), 6) AS percentile FROM nul")
+@query("percentile_of", f"WITH {NULL} SELECT round(100.0*avg(CAST(round(total_pct, 9) < (SELECT round(total_pct, 9) FROM own) AS INT)), 6) AS percentile FROM nul")
 def _(spark, sf):
     """The strategy's place among the random selections of the same engine."""
     rows = scored(spark, sf)

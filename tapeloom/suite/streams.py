@@ -8,6 +8,7 @@ from tapeloom.functions.frames import fixed
 from tapeloom.sources import tables as src
 from tapeloom.streaming import bars as sb
 from tapeloom.streaming import halts, sinks
+from tapeloom.streaming import states as st
 from tapeloom.suite import intraday as si
 from tapeloom.suite import sqlparts as q
 from tapeloom.suite.panel import scratch
@@ -79,7 +80,7 @@ def _(spark, sf):
 @query("stream_session_vwap", """SELECT user_id%5 AS symbol, CAST(ts AS DATE) AS trade_date, round(sum(value+500.0)/count(*), 8) AS vwap, max(value+500.0) AS session_high, min(value+500.0) AS session_low FROM events
 WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 5 SECOND GROUP BY ALL""")
 def _(spark, sf):
-    v = finish(spark, sb.stream_session_values(ticks(spark, sf)), "vwap")
+    v = states(spark, sf, st.stream_sessions, "vwap").filter("kind = 'final'")
     return v.select("symbol", "trade_date", fixed(F.col("vwap"), 8).alias("vwap"), "session_high", "session_low")
 
 
@@ -91,6 +92,32 @@ def _(spark, sf):
     return plain(finish(spark, sb.stream_stale_symbols(e, "12 hours"), "stale"), "last_tick", "stale_from")
 
 
+def states(spark, sf, stream, name):
+    """Rows of a state machine over the ticks."""
+    base, out = scratch(spark, name), stream(ticks(spark, sf))
+    st.run_states(out, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+@query("stream_session_square_off", """WITH t AS (SELECT user_id%5 AS symbol, CAST(ts AS DATE) AS trade_date, ts, value+500.0 AS px FROM events WHERE CAST(ts AS TIME) < TIME '18:00:00')
+SELECT symbol, trade_date, round(avg(px), 8) AS vwap, max(px) AS session_high, min(px) AS session_low, count(*) AS ticks, max(ts) AS as_of FROM t
+WHERE trade_date + INTERVAL 18 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 5 SECOND GROUP BY ALL""")
+def _(spark, sf):
+    """Final values of every session that was squared off, each from its own timer."""
+    rows = states(spark, sf, lambda t: st.stream_sessions(t, 18 * 60), "squareoff").filter("kind = 'final'")
+    return plain(rows, "as_of").select("symbol", "trade_date", fixed(F.col("vwap"), 8).alias("vwap"), "session_high", "session_low", "ticks", "as_of")
+
+
+@query("stream_silence", """WITH g AS (SELECT user_id%5 AS symbol, ts, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id%5 ORDER BY ts, event_id) AS s
+ FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id%5 ORDER BY ts, event_id) AS p FROM events)),
+w AS (SELECT symbol, s, min(ts) AS begin, max(ts) AS last, count(*) AS ticks FROM g GROUP BY symbol, s)
+SELECT symbol, 'silent' AS kind, last + INTERVAL 1 HOUR AS at, ticks FROM w WHERE last + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 5 SECOND
+UNION ALL SELECT symbol, 'back', begin, 0 FROM w WHERE s > 1""")
+def _(spark, sf):
+    """Silences of an hour and returns, by one timer a symbol that every tick puts off."""
+    return plain(states(spark, sf, lambda t: st.stream_silence(t, "1 hour"), "silence"), "at").select("symbol", "kind", "at", "ticks")
+
+
 _STREAM_SIG = si.SIG.replace("OVER (PARTITION BY symbol, trade_date) >= 10)", f"OVER (PARTITION BY symbol, trade_date) >= 1 AND {closed('5 SECOND')})")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +60,19 @@ def settle(df: DataFrame, *cols: str) -> DataFrame:
     out = (df.select(*cols) if cols else df).checkpoint(eager=True)
     out._settled = True
     return out
+
+
+@contextlib.contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as Parquet in the shared checkpoint folder while the block runs, for loops that read it again and again.
+
+    Reads prune columns, a lost executor costs no lineage, and the folder is removed at the end.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

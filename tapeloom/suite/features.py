@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.frames import fixed
 from tapeloom.operators import features as ft
+from tapeloom.operators import network as nw
 from tapeloom.operators.statistics import draw_number
 from tapeloom.session import settle
 from tapeloom.sources import tables as src
@@ -113,6 +114,14 @@ def _(spark, sf):
     return p.select("fold", "date", "symbol", fixed(F.col("y"), 7).alias("y"), fixed(F.col("pred")).alias("pred"))
 
 
+@query("fit_predict_network")
+def _(spark, sf):
+    """Two hidden layers trained on every fold at once; no SQL, tests compare with plain numpy on gathered rows."""
+    x = settle(feats(spark, sf))
+    p = nw.fit_predict_network(x, ft.walk_forward_folds(x, FOLDS), FP.names, nw.NetworkParams(steps=20))
+    return p.select("fold", "date", "symbol", fixed(F.col("y"), 7).alias("y"), fixed(F.col("pred")).alias("pred"))
+
+
 def _mean_ic(leak, pred):
     """The oracle of one report's mean rank correlation."""
     return f"(WITH {(PRED.replace(FSQL, fsql(-4)) if leak else PRED).replace('-rev AS pred', pred + ' AS pred')} SELECT avg(ic) FILTER (WHERE fold>0) FROM fsc)"

@@ -23,6 +23,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: Piece kinds of the model format: ordinary, unknown, control, byte.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Stretches whose ids a worker keeps, the longest that is kept, pairs of pieces it keeps, bytes of text taken at once.
-MEMO, MEMO_CHARS, PAIRS, CHUNK = 100_000, 64, 250_000, 1 << 18
+MEMO, MEMO_CHARS, PAIRS, CHUNK = 500_000, 64, 250_000, 1 << 18
 _STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -165,6 +166,10 @@ class Transducer:
         self.bytes_of = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode()
                          for p, k in zip(m.pieces, m.kinds, strict=True)]
 
+        self.piece_sizes = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
+        self.piece_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+
     def _merged(self, text: str) -> list[int]:
         """Ids of a short text by merging its best-ranked neighbours again and again; leftmost first."""
         parts = list(text)
@@ -289,8 +294,9 @@ class Transducer:
         seen = {s for c in cut for s in c}
         new = [s for s in seen if s not in self.memo]
         if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(seen)
+            for s in list(islice(self.memo, len(self.memo) // 2)):  # the older half goes
+                del self.memo[s]
+            new = [s for s in seen if s not in self.memo]
         known = dict(zip(new, self.paths(new), strict=True))
         self.memo.update((s, ids) for s, ids in known.items() if len(s) <= MEMO_CHARS)
         memo, long = self.memo, {s: ids for s, ids in known.items() if len(s) > MEMO_CHARS}
@@ -298,6 +304,25 @@ class Transducer:
             return [b"".join([long[s] if s in long else memo[s] for s in c]) for c in cut]
         return [b"".join(map(memo.__getitem__, c)) for c in cut]
 
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of many sequences of ids at once, and where each ends; ``ends`` are the sequences' ends among the ids."""
+        sizes = self.piece_sizes[ids]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(self.piece_starts[ids] - upto[:-1], sizes) + np.arange(upto[-1])
+        return self.piece_bytes[at], upto[ends]
+
+    def gives_back(self, texts: list[str | None], ids: np.ndarray, ends: np.ndarray) -> list[bool | None]:
+        """Whether each sequence of ids decodes to its text; null for a null text."""
+        data, upto = self.decoded(ids, ends)
+        given = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        front = b" " if self.model.prefix else b""
+        raw, at, out = data.tobytes(), 0, []
+        for text, own, end in zip(texts, given, upto.tolist(), strict=True):
+            back = raw[at:end]
+            out.append(None if text is None else (back[len(front):] if back.startswith(front) else back) == own)
+            at = end
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """Text of a sequence of ids; broken byte sequences become replacement characters."""
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -346,8 +371,7 @@ def encode(docs: DataFrame, model: bytes, keys: tuple[str, ...] = ("doc_id",), t
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids), mask=null)
             columns = [*(batch.column(k) for k in keys), pa.array(counts), pa.array(in_bytes[ends] - in_bytes[ends - counts]), lists]
             if verify:
-                back = [transducer.decode(np.frombuffer(r, "<i4").tolist()) for r in raw]
-                columns.append(pa.array([None if t is None else t == b for t, b in zip(texts, back, strict=True)], pa.bool_()))
+                columns.append(pa.array(transducer.gives_back(texts, ids, ends), pa.bool_()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return given.mapInArrow(work, schema)

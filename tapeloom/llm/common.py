@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,11 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns by name, whatever the names hold."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in names]
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write a frame as Parquet in the shared checkpoint folder and go on from the files.
 

@@ -141,11 +141,11 @@ def held_out(doc_id: Column) -> Column:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     names, logp = fit(teaching(docs))
-    return identify(docs, names, logp).withColumn("held_out", held_out(F.col("doc_id")))
+    return identify(docs, names, logp).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "langs")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows in which one learned language holds at least ``least`` of the text; ``und`` rows go. Columns stay as they are."""
     names, logp = fit(teaching(docs))
-    judged = identify(docs.select(F.struct(*docs.columns).alias("_row")), names, logp, keys=("_row",), text="_row.text")
+    judged = identify(docs.select(F.struct("*").alias("_row")), names, logp, keys=("_row",), text="_row.text")
     return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import chunks, documents, keep, short_batches, texts_of
+from tapeloom.llm.common import chunks, documents, keep, quoted, short_batches, texts_of
 from tapeloom.llm.links import link
 from tapeloom.llm.shingles import band_keys, fast_similarity_sketch, set_keys, shingle_sets
 from tapeloom.llm.suite import query
@@ -96,17 +96,17 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     if not again.filter("_differ").isEmpty():
         return _one_of_each_row(docs)
     gone = keep(judged(docs, rows).filter("NOT kept").select("doc_id").distinct())
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    out = docs.join(gone, "doc_id", "left_anti").select(*quoted(docs.columns))
     again = again.select("doc_id")
     if again.isEmpty():
         return out
-    return out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(
-        out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return out.join(again, "doc_id", "left_anti").select(*quoted(docs.columns)).unionByName(
+        out.join(again, "doc_id", "left_semi").select(*quoted(docs.columns)).dropDuplicates(["doc_id"]))
 
 
 def _one_of_each_row(docs: DataFrame) -> DataFrame:
     """One row of each group where a doc_id has several texts: rows are written with numbers that stand for the ids in the linking."""
-    own = keep(docs.select(F.struct(*docs.columns).alias("_row")).withColumn("_no", F.monotonically_increasing_id()))
+    own = keep(docs.select(F.struct("*").alias("_row")).withColumn("_no", F.monotonically_increasing_id()))
     named = own.filter("_row.doc_id IS NOT NULL")
     found = near_duplicates(named.select(F.col("_no").alias("doc_id"), "_row.text")).select(F.col("doc_id").alias("_no"), "n_shingles", "component_id")
     with_ids = keep(found.join(named.select("_no", F.col("_row.doc_id").alias("_id")), "_no"))

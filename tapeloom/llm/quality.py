@@ -238,5 +238,5 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows that are kept, columns as they are. Rows are written once with their measures, so nothing is joined."""
-    measured = keep(measures(docs.withColumn("_row", F.struct(*docs.columns)), ("_row",), "text"))
+    measured = keep(measures(docs.withColumn("_row", F.struct("*")), ("_row",), "text"))
     return judge(measured, references(measured, limits), limits).filter("kept").select("_row.*")

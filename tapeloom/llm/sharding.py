@@ -7,11 +7,11 @@ by a denser sample from it, and a record that fills a range becomes a range of i
 running bytes; slots count on through a shard's ranges. Only sampled keys and one row per fine range reach the driver.
 
 The law is ``bytes``. A shard differs from the mean by at most about one fine range, 1/256 of a shard, or one record if
-that is larger. A group of equal texts is cut only at ranges' ends, and may be cut, since the key goes on with a hash
-of the doc_id.
+that is larger. A group of equal texts is cut only at ranges' ends, and may be cut, since the key goes on with hashes
+of the doc_id and of the row's number; the numbered rows are written once, so all reads agree on them.
 
 Cases: a null text has no bytes (size 1) and the crc32 of none, 0; null doc_ids sort first among equal keys; repeated
-rows have one key and cannot be told apart, so they stay in one range; an empty table gives an empty result. Other
+rows have keys of their own and are cut like others; an empty table gives an empty result. Other
 columns are passed over.
 """
 
@@ -35,7 +35,8 @@ def keyed(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     """doc_id, size, text_crc32 and the sort key of every row."""
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     light = docs.select(F.col(id_column).alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    return light.withColumn("key", F.col("text_crc32") * (1 << 31) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)))
+    of_id, of_row = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16)), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 15))
+    return light.withColumn("key", F.col("text_crc32") * (1 << 31) + of_id * (1 << 15) + of_row)
 
 
 def sampled_keys(rows: DataFrame, total: int, draws: int) -> np.ndarray:

@@ -1,6 +1,7 @@
 """The pipeline's stages one after another, and on odd rows."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_texts import SCHEMA, odd_rows
 
 
@@ -18,6 +19,6 @@ def test_stages_keep_their_contract(spark, tmp_path):
 
 def test_odd_and_empty_rows(spark):
     for rows in (odd_rows(), []):
-        docs = spark.createDataFrame(rows, SCHEMA)
+        docs = spark.createDataFrame(rows, SCHEMA).withColumn("x.y", F.lit("z"))
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, "").count() >= 0

@@ -384,6 +384,16 @@ def test_shards_with_very_long_documents(spark):
     assert ((ranges["bytes"] <= 2 * total / 1024) | (ranges["rows"] == 1)).all()
 
 
+def test_shards_of_rows_that_repeat(spark):
+    rows = [(7, "the same text again and again " * 3)] * 2000 + [(100 + i, f"other {i} " * (3 + i % 19)) for i in range(4000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    sums = Counter()
+    for r in got:
+        sums[r["shard"]] += r["size"]
+    assert max(sums.values()) - min(sums.values()) < 0.02 * sum(sums.values()) / 4 and len(got) == 6000
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got))) for s in range(4))
+
+
 def test_urls_rules_and_mined_rules(spark):
     odd = [(1, None), (2, "no host"), (3, "http://WWW.Example.com/en/1?x=/net/"), (4, "https://a.example.com/en/"), (5, "http://example.net/fr/x#y"), (6, "x://com"), (7, "ftp://b.com/"), (7, "ftp://b.com/")]
     bad = [(100 + i, f"http://m{i % 7}.bad.org/{'deal' if i % 2 else 'news'}/{i}") for i in range(400)]

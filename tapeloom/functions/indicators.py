@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeloom.functions.frames import lookback, median_of, ratio, rolling
+from tapeloom.functions.moving import Moving, moving
 from tapeloom.plans.scans import exponential_means
 
 SESSIONS_PER_YEAR = 252
@@ -66,6 +67,12 @@ def rolling_median_turnover(width: int) -> Column:
     return rolling(median_of(t), t, width, max(2, width // 2))
 
 
+def with_median_turnover(df: DataFrame, width: int, name: str = "median_turnover", keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Median turnover of the last ``width`` sessions, by a sliding sorted window."""
+    traded = df.withColumn("_turnover", F.col("close") * F.col("volume"))
+    return moving(traded, {name: Moving("median", "_turnover", width, max(2, width // 2), by_order=True)}, keys).drop("_turnover")
+
+
 def with_max_abs_gap(df: DataFrame, width: int, name: str = "max_gap") -> DataFrame:
     prev = lookback("close", 1)
     gap = F.abs((F.col("open") - prev) / F.when(prev > 0, prev))
@@ -143,13 +150,11 @@ def range_gap_pct(df: DataFrame, p: FactorParams = FactorParams()) -> DataFrame:
 
 
 def liquidity_factors(df: DataFrame, p: FactorParams = FactorParams()) -> DataFrame:
-    w, t = own(), F.col("close") * F.coalesce("volume", F.lit(0.0))
-    fast, slow = w.rowsBetween(-(p.fast - 1), 0), w.rowsBetween(-(p.slow - 1), 0)
-    step = df.withColumns({"_fast": median_of(t).over(fast), "median_turnover": median_of(t).over(slow),
-                           "median_volume": median_of(F.coalesce("volume", F.lit(0.0))).over(slow),
-                           "zero_volume_frac": F.avg((F.coalesce("volume", F.lit(0.0)) <= 0).cast("double")).over(slow)})
-    return step.withColumn("turnover_expansion",
-                           F.when(F.col("median_turnover") > 0, F.col("_fast") / F.col("median_turnover"))).drop("_fast")
+    traded = df.withColumns({"_vol": F.coalesce("volume", F.lit(0.0)), "_turnover": F.col("close") * F.coalesce("volume", F.lit(0.0))})
+    step = moving(traded, {"_fast": Moving("median", "_turnover", p.fast), "median_turnover": Moving("median", "_turnover", p.slow), "median_volume": Moving("median", "_vol", p.slow)})
+    none = F.avg((F.col("_vol") <= 0).cast("double")).over(own().rowsBetween(-(p.slow - 1), 0))
+    grown = F.when(F.col("median_turnover") > 0, F.col("_fast") / F.col("median_turnover"))
+    return step.withColumns({"zero_volume_frac": none, "turnover_expansion": grown}).drop("_fast", "_vol", "_turnover")
 
 
 def compute_factors(bars: DataFrame, p: FactorParams = FactorParams()) -> DataFrame:

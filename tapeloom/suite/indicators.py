@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import indicators as ind
 from tapeloom.functions.frames import fixed
+from tapeloom.functions.moving import Moving, moving
 from tapeloom.sources import tables as src
 from tapeloom.suite import sqlparts as q
 from tapeloom.suite.register import query
@@ -56,7 +57,7 @@ def _(spark, sf):
 
 @query("rolling_median_turnover", f"WITH {q.PANEL} SELECT symbol, session_no, round(CASE WHEN count(close*volume) {W.format(11)} >= 6 THEN quantile_cont(close*volume, 0.5) {W.format(11)} END, 7) AS med FROM panel")
 def _(spark, sf):
-    return out(src.panel(spark, sf).withColumn("med", ind.rolling_median_turnover(12)), "med", digits=7)
+    return out(ind.with_median_turnover(src.panel(spark, sf), 12, "med"), "med", digits=7)
 
 
 @query("max_abs_gap", f"""WITH {q.PANEL}, g AS (SELECT p.*, abs((p.open-l.close)/l.close) AS gap FROM panel p LEFT JOIN panel l ON l.symbol=p.symbol AND l.session_no=p.session_no-1)
@@ -78,7 +79,7 @@ def _(spark, sf):
 SELECT a.symbol, a.session_no, round(CASE WHEN count(*)>=10 THEN (count(*) FILTER (WHERE b.close<a.close) + (count(*) FILTER (WHERE b.close=a.close)+1)/2)/count(*) END, 6) AS pct
 FROM n a JOIN n b ON a.symbol=b.symbol AND b.rn BETWEEN a.rn-29 AND a.rn GROUP BY 1, 2""")
 def _(spark, sf):
-    return out(src.panel(spark, sf).withColumn("pct", ind.rolling_percentile("close", 30, 10)), "pct")
+    return out(moving(src.panel(spark, sf), {"pct": Moving("rank", "close", 30, 10)}), "pct")
 
 
 @query("efficiency_percentile", f"""WITH {EFF}, n AS (SELECT *, row_number() {O} AS rn FROM eff),
@@ -86,7 +87,7 @@ c AS (SELECT a.symbol, a.rn, count(b.eff) AS n, count(*) FILTER (WHERE b.eff<a.e
 SELECT symbol, session_no, round(CASE WHEN eff IS NOT NULL AND c.n>=20 THEN 100.0*below/c.n END, 6) AS pct FROM n LEFT JOIN c USING (symbol, rn)""")
 def _(spark, sf):
     e = ind.with_efficiency_ratio(src.panel(spark, sf), 13)
-    return out(e.withColumn("pct", ind.efficiency_percentile("efficiency", 52, 20)), "pct")
+    return out(moving(e, {"pct": Moving("below", "efficiency", 52, 20)}), "pct")
 
 
 @query("momentum_12_1", f"WITH {q.MOM} SELECT symbol, session_no, round(score, 6) AS score FROM mom")

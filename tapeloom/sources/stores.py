@@ -59,6 +59,20 @@ def write_panel(panel: DataFrame, path: str) -> None:
      .write.mode("overwrite").partitionBy("year").parquet(path))
 
 
+def write_bucketed_panel(panel: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """The panel as a table bucketed and sorted by series: windows, joins and groupings by symbol read it without a shuffle
+    (joins by symbol and date too, with ``spark.sql.requireAllClusterKeysForCoPartition`` off).
+
+    One shuffle at write time puts every bucket into one file; ``buckets`` sizes the tasks of all later reads (a series
+    has at most one row per session, so no series can outgrow its bucket).
+    """
+    spark = panel.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    (panel.repartition(buckets, "symbol").write.mode("overwrite").bucketBy(buckets, "symbol").sortBy("symbol", "date")
+     .option("path", path).saveAsTable(table))
+    return spark.table(table)
+
+
 def write_reports(reports: dict[str, DataFrame], folder: str) -> None:
     """Each report as CSV for people and JSON for programs."""
     for name, df in reports.items():

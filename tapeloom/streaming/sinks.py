@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tapeloom.operators import intraday as idy
 from tapeloom.operators import outcomes as oc
 from tapeloom.session import settle
-from tapeloom.sources.stores import upsert
+from tapeloom.sources.keyed import KeyedStore
 
 
 def run_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
@@ -60,18 +60,24 @@ class SignalSink:
 
 @dataclass
 class RecordSink:
-    """Session records replaced by date; every batch writes the next full version of the (calendar-sized) table."""
+    """Session records replaced by key; a batch rewrites only the parts of the table that its keys fall into.
+
+    A repeated batch finds its version published and changes nothing.
+    """
 
     folder: str
     key: str = "trade_date"
+    parts: int = 16
+
+    @property
+    def store(self) -> KeyedStore:
+        return KeyedStore(self.folder, (self.key,), self.parts)
 
-    def version(self, batch_id: int) -> str:
-        return f"{self.folder}/v={batch_id}"
+    def read(self, spark: SparkSession) -> DataFrame:
+        return self.store.read(spark)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         order = F.struct("written_at") if "written_at" in batch.columns else F.struct(*[c for c in batch.columns if c != self.key])
         rest = [c for c in batch.columns if c != self.key]
         newest = batch.groupBy(self.key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(self.key, "_r.*")
-        if batch_id > 0:
-            newest = upsert(batch.sparkSession.read.schema(batch.schema).parquet(self.version(batch_id - 1)), newest, [self.key])
-        newest.write.mode("overwrite").parquet(self.version(batch_id))
+        self.store.upsert(newest, batch_id)

@@ -10,11 +10,17 @@ from tapeloom.functions.frames import fixed
 from tapeloom.operators import calendars as cal
 from tapeloom.operators import intraday as idy
 from tapeloom.operators import outcomes as oc
+from tapeloom.operators import regime as rg
+from tapeloom.operators import statistics as st
+from tapeloom.operators import touches as tc
+from tapeloom.operators import xsection as xs
 from tapeloom.session import settle
 from tapeloom.sources import tables as src
 from tapeloom.suite import sqlparts as q
 from tapeloom.suite.panel import HSESS, SESSION
+from tapeloom.suite.regimes import regime_sql
 from tapeloom.suite.register import query
+from tapeloom.suite.statistics import BREADTH
 
 TIMES = idy.SessionTimes("06:00", "22:00", "07:00", "20:00", "21:00")
 MOST = 0.9
@@ -239,7 +245,7 @@ _rule("sig_momentum_burst", R_BURST)
 _rule("sig_vwap_reversion", R_REVERT)
 _rule("sig_gap_fade", R_FADE)
 
-SIG = RR + ", sig AS (" + " UNION ALL ".join(RULES.values()) + """),
+_ROUTED = ", sig AS (" + " UNION ALL ".join(RULES.values()) + """),
 tm AS (SELECT * FROM sig WHERE strftime(bar_ts, '%H:%M')>='07:00' AND strftime(bar_ts, '%H:%M')<'20:00'),
 ag AS (SELECT symbol, trade_date, bar_ts, count(*) AS rules, count(DISTINCT side) AS sides, arg_max({'side': side, 'entry': entry, 'stop': stop, 'target': target, 'strategy': strategy, 'confidence': confidence}, (confidence, -rule_no)) AS b,
  product(1-least(greatest(confidence, 0.0), 0.99)) AS miss, max(stop) AS smax, min(stop) AS smin, max(target) AS tmax, min(target) AS tmin, array_to_string(list_sort(list_distinct(list(strategy))), '+') AS names FROM tm GROUP BY ALL),
@@ -247,6 +253,7 @@ mg AS (SELECT *, b.side AS side, b.entry AS entry, CASE WHEN b.side='long' THEN
 mv AS (SELECT *, rules>1 AND CASE WHEN side='long' THEN ms<entry AND entry<mt ELSE mt<entry AND entry<ms END AS ok FROM mg),
 rtd AS (SELECT symbol, trade_date, bar_ts, side, entry, CASE WHEN ok THEN ms ELSE b.stop END AS stop, CASE WHEN ok THEN mt ELSE b.target END AS target, CASE WHEN ok THEN names ELSE b.strategy END AS strategy,
  CASE WHEN ok THEN least(1-miss, 0.95) ELSE b.confidence END AS confidence, rules FROM mv)"""
+SIG = RR + _ROUTED
 
 
 @query("rule_registry", f"WITH {SIG} SELECT {SIGCOLS}, strategy FROM sig")
@@ -259,6 +266,41 @@ def _(spark, sf):
     return show(Desk(spark, sf).routed, "strategy", "rules")
 
 
+# the index of these names has 30 days, so its own averages are short
+KNOWN = rg.RegimeParams(fast=3, slow=6, anchor=8, atr=5, least_atr=3, least_efficiency=3)
+_MADE_UP = "['trend','range','volatile'][1+day(trade_date)%3] AS family, (day(trade_date)+symbol)%5%3-1 AS direction"
+RRK = FEAT + f""", cal AS (SELECT trade_date AS date, CAST(row_number() OVER (ORDER BY trade_date) AS INTEGER) AS session_no FROM (SELECT DISTINCT trade_date FROM dly)),
+panel AS (SELECT symbol, date, session_no, high, low, close FROM dly JOIN cal ON cal.date=dly.trade_date),
+bench AS (SELECT date, session_no, avg(close) AS close, avg(high) AS high, avg(low) AS low FROM panel GROUP BY ALL)
+{BREADTH}{regime_sql(KNOWN)}, rgm AS (SELECT cal.date AS trade_date, family, direction FROM reg JOIN cal ON cal.session_no=reg.session_no+1)""" + \
+    RR[len(FEAT):].replace(_MADE_UP, "rgm.family, rgm.direction").replace("USING (symbol, trade_date))", "USING (symbol, trade_date) JOIN rgm USING (trade_date))")
+
+
+class KnownDesk(Desk):
+    """Rules and routing under the regime of the session before, from the index of the traded names."""
+
+    @cached_property
+    def daily(self):
+        return settle(src.with_sessions(idy.daily_from_bars(self.hourly).withColumnRenamed("trade_date", "date")))
+
+    @property
+    def rule_rows(self):
+        regimes = settle(rg.regime_table(src.benchmark(self.daily), st.breadth(self.daily, 10), KNOWN))
+        days = self.daily.select(F.col("date").alias("trade_date"), "session_no").distinct()
+        rows = self.features.join(F.broadcast(days), "trade_date").join(self.context, ["symbol", "trade_date"], "left")
+        return xs.with_known_regime(rows, regimes).withColumns({"allows_long": F.col("direction") >= 0, "allows_short": F.col("direction") <= 0})
+
+
+@query("rule_registry_by_regime", f"WITH {RRK}{_ROUTED} SELECT {SIGCOLS}, strategy FROM sig")
+def _(spark, sf):
+    return show(KnownDesk(spark, sf).signals, "strategy")
+
+
+@query("route_signals_by_regime", f"WITH {RRK}{_ROUTED} SELECT {SIGCOLS}, strategy, rules FROM rtd")
+def _(spark, sf):
+    return show(KnownDesk(spark, sf).routed, "strategy", "rules")
+
+
 @query("signal_validity", f"""WITH {SIG}, j AS (SELECT symbol, bar_ts, strategy, side, entry, CASE WHEN extract(hour FROM bar_ts)%3=0 THEN entry*2 WHEN extract(hour FROM bar_ts)%3=1 THEN -stop ELSE stop END AS stop, target FROM sig)
 SELECT symbol, bar_ts, strategy, coalesce(stop>0 AND CASE WHEN side='long' THEN stop<entry AND entry<target ELSE target<entry AND entry<stop END, false) AS valid, round(abs(target-entry)/abs(entry-stop), 8) AS reward_risk FROM j""")
 def _(spark, sf):
@@ -313,6 +355,13 @@ def _(spark, sf):
     return Desk(spark, sf).closed.select("symbol", "bar_ts", "exit_ts", "reason", "exit_ref")
 
 
+@query("first_touch_by_blocks", f"WITH {EXIT} SELECT symbol, bar_ts, exit_ts, reason, exit_ref FROM cd")
+def _(spark, sf):
+    d = Desk(spark, sf)
+    blocks = settle(tc.blocks_of_bars(d.sess, TIMES))
+    return tc.first_touch_by_blocks(d.sized.filter("approved"), blocks).select("symbol", "bar_ts", "exit_ts", "reason", "exit_ref")
+
+
 @query("trade_pnl", f"WITH {EXIT} SELECT symbol, bar_ts, round(gross_pnl, 6)+0.0 AS gross_pnl, round(costs, 6) AS costs, round(gross_pnl-costs, 6)+0.0 AS net_pnl, gross_pnl-costs>0 AS win FROM cd")
 def _(spark, sf):
     t = oc.trade_pnl(Desk(spark, sf).closed, COSTS)
@@ -333,6 +382,15 @@ def _(spark, sf):
     return oc.excursion(d.closed, d.sess).select("symbol", "bar_ts", fixed(F.col("best_price"), 8).alias("best_price"))
 
 
+@query("excursion_by_blocks", f"""WITH {EXIT} SELECT c.symbol, c.bar_ts, round(CASE WHEN any_value(side)='long' THEN greatest(any_value(fill_price), max(b.high)) ELSE least(any_value(fill_price), min(b.low)) END, 8) AS best_price
+FROM cd c LEFT JOIN sess b ON b.symbol=c.symbol AND b.trade_date=c.trade_date AND b.bar_ts>c.fill_ts AND b.bar_ts<=c.exit_ts GROUP BY 1, 2""")
+def _(spark, sf):
+    d = Desk(spark, sf)
+    blocks = settle(tc.blocks_of_bars(d.sess, TIMES))
+    closed = settle(tc.first_touch_by_blocks(d.sized.filter("approved"), blocks))
+    return tc.excursion_by_blocks(closed, blocks).select("symbol", "bar_ts", fixed(F.col("best_price"), 8).alias("best_price"))
+
+
 @query("cost_model", f"WITH {q.TRADES} SELECT trade_id, round(entry_price*quantity*14.6/1e4, 9) AS statutory, round(entry_price*quantity*10.0/1e4, 9) AS slippage, round(entry_price*quantity*24.6/1e4, 9) AS round_trip FROM trades")
 def _(spark, sf):
     c = oc.cost_model(src.trades(spark, sf), COSTS)

@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tapeloom.functions.frames import fixed
 from tapeloom.operators import calendars as cal
 from tapeloom.session import ensure_checkpoint_dir
 from tapeloom.sources import archive, stores
 from tapeloom.sources import tables as src
+from tapeloom.sources.keyed import KeyedStore
 from tapeloom.suite import sqlparts as q
 from tapeloom.suite.register import query
 
@@ -171,6 +173,19 @@ def _(spark, sf):
                                            F.col("year").cast("long").alias("year"))
 
 
+@query("bucketed_panel", f"""WITH {q.PANEL} SELECT symbol, date, CASE WHEN count(*) OVER w>=20 THEN round(avg(close) OVER w, 6) END AS sma, round(close/lag(close) OVER o-1, 8) AS ret FROM panel
+WINDOW o AS (PARTITION BY symbol ORDER BY date), w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+def _(spark, sf):
+    """Windows by symbol on the bucketed layout: no shuffle after the one that wrote it."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    panel = stores.write_bucketed_panel(src.panel(spark, sf), name, scratch(spark, name), buckets)
+    own = Window.partitionBy("symbol").orderBy("date")
+    w = own.rowsBetween(-19, 0)
+    return panel.select("symbol", "date", F.when(F.count(F.lit(1)).over(w) >= 20, fixed(F.avg("close").over(w))).alias("sma"),
+                        fixed(F.col("close") / F.lag("close").over(own) - 1, 8).alias("ret"))
+
+
 @query("write_reports", f"""WITH {q.TRADES}, r AS (SELECT reason, count(*) AS trades, round(sum(gross_pnl), 4) AS gross FROM trades GROUP BY 1)
 SELECT 'json' AS kind, * FROM r UNION ALL SELECT 'csv', * FROM r""")
 def _(spark, sf):
@@ -196,6 +211,18 @@ def _(spark, sf):
                                  days(d >= F.lit("1998-06-01").cast("timestamp_ntz"), "incoming"))
 
 
+@query("upsert_by_range", f"""WITH {q.WBARS}, s AS (SELECT symbol, date, close, 'stored' AS origin FROM wbars WHERE date < DATE '2000-01-01'),
+i AS (SELECT symbol, date, close, 'incoming' AS origin FROM wbars WHERE symbol%7=3 AND date >= DATE '1999-06-01')
+SELECT * FROM s WHERE (symbol, date) NOT IN (SELECT (symbol, date) FROM i) UNION ALL SELECT * FROM i""")
+def _(spark, sf):
+    """Bars replaced by (symbol, date) in a keyed store, from folder to folder."""
+    bars = src.weekly_bars(spark, sf).select("symbol", "date", "close")
+    store = KeyedStore(scratch(spark, "keyed"), ("symbol", "date"), 32)
+    store.upsert(bars.filter(F.col("date") < F.lit("2000-01-01").cast("date")).withColumn("origin", F.lit("stored")))
+    store.upsert(bars.filter((F.col("symbol") % 7 == 3) & (F.col("date") >= F.lit("1999-06-01").cast("date"))).withColumn("origin", F.lit("incoming")))
+    return store.read(spark)
+
+
 @query("upsert_by_key", f"""WITH {q.FUNDAMENTALS}, i AS (SELECT concat('P', symbol+500) AS symbol, sector, price*2 AS price FROM fundamentals WHERE age_days IS NOT NULL),
 s AS (SELECT concat('P', symbol) AS symbol, sector, price FROM fundamentals)
 SELECT * FROM s WHERE symbol NOT IN (SELECT symbol FROM i) UNION ALL SELECT * FROM i""")

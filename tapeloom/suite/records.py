@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.functions.frames import beside, fixed
+from tapeloom.operators import digests as dg
 from tapeloom.operators import records as rc
+from tapeloom.session import settle
 from tapeloom.sources import archive
 from tapeloom.sources import tables as src
 from tapeloom.suite import sqlparts as q
@@ -192,3 +194,15 @@ SELECT (SELECT count(*) FROM (SELECT * FROM g EXCEPT ALL SELECT * FROM s)) AS mi
 def _(spark, sf):
     g = rc.exit_mix(trades(spark, sf)).select("strategy", "reason", "trades")
     return rc.generated_vs_stored(g, g.withColumn("trades", F.col("trades") + (F.col("reason") == "stop").cast("long")))
+
+
+@query("compared_by_digests", f"""WITH {q.WBARS}, g AS (SELECT symbol, date, close, volume FROM wbars),
+s AS (SELECT symbol, date, CASE WHEN symbol%10=7 AND date=DATE '1998-03-02' THEN close+1 ELSE close END AS close, volume FROM g WHERE NOT (symbol%10=4 AND date=DATE '1999-03-01'))
+SELECT (SELECT count(*) FROM (SELECT * FROM g EXCEPT ALL SELECT * FROM s)) AS missing, (SELECT count(*) FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM g)) AS unexpected,
+ (SELECT count(*) FROM (SELECT * FROM g EXCEPT ALL SELECT * FROM s))+(SELECT count(*) FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM g)) > 0 AS differs""")
+def _(spark, sf):
+    """Bars against a stored copy with one bar changed and one bar lost of every tenth symbol."""
+    g = settle(src.weekly_bars(spark, sf).select("symbol", "date", "close", "volume"))
+    tenth, day = F.col("symbol") % 10, F.col("date").cast("string")
+    s = g.filter(~((tenth == 4) & (day == "1999-03-01"))).withColumn("close", F.col("close") + ((tenth == 7) & (day == "1998-03-02")).cast("int"))
+    return dg.compared_by_digests(g, s, ["symbol", "date"])

@@ -21,17 +21,22 @@ def ef(col, alpha, least, alias):
     return f"CASE WHEN count({col}) OVER s >= {least} THEN list_reduce(list({col}) OVER s, lambda a, x: a + {alpha}*(x-a)) END AS {alias}"
 
 
-REG = q.BENCH + BREADTH + f""", r0 AS (SELECT *, greatest(high-low, abs(high-lag(close) OVER o), abs(low-lag(close) OVER o)) AS tr, abs(close-lag(close) OVER o) AS d, abs(close-lag(close, 20) OVER o) AS net FROM bench WINDOW o AS (ORDER BY session_no)),
-r1 AS (SELECT *, row_number() OVER s AS bars, CASE WHEN count(*) OVER w40>=40 THEN avg(close) OVER w40 END AS sma_anchor, {ef('close', '(2.0::DOUBLE/11)', 1, 'ema_fast')}, {ef('close', '(2.0::DOUBLE/21)', 1, 'ema_slow')}, {ef('tr', '(1.0::DOUBLE/14)', 14, 'atr')},
- net/sum(d) OVER w20 AS eff FROM r0 WINDOW s AS (ORDER BY session_no), w40 AS (ORDER BY session_no ROWS BETWEEN 39 PRECEDING AND CURRENT ROW), w20 AS (ORDER BY session_no ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+def regime_sql(p):
+    """Steps from ``bench`` and ``br`` to ``reg``."""
+    return f""", r0 AS (SELECT *, greatest(high-low, abs(high-lag(close) OVER o), abs(low-lag(close) OVER o)) AS tr, abs(close-lag(close) OVER o) AS d, abs(close-lag(close, {p.slow}) OVER o) AS net FROM bench WINDOW o AS (ORDER BY session_no)),
+r1 AS (SELECT *, row_number() OVER s AS bars, CASE WHEN count(*) OVER wa>={p.anchor} THEN avg(close) OVER wa END AS sma_anchor, {ef('close', f'(2.0::DOUBLE/{p.fast + 1})', 1, 'ema_fast')}, {ef('close', f'(2.0::DOUBLE/{p.slow + 1})', 1, 'ema_slow')}, {ef('tr', f'(1.0::DOUBLE/{p.atr})', p.atr, 'atr')},
+ net/sum(d) OVER ws AS eff FROM r0 WINDOW s AS (ORDER BY session_no), wa AS (ORDER BY session_no ROWS BETWEEN {p.anchor - 1} PRECEDING AND CURRENT ROW), ws AS (ORDER BY session_no ROWS BETWEEN {p.slow - 1} PRECEDING AND CURRENT ROW)),
 r2 AS (SELECT *, atr/close AS atr_pct FROM r1),
-r3 AS (SELECT a.session_no, CASE WHEN count(b.atr_pct) FILTER (WHERE b.bars>a.bars-252)>=30 THEN 100*(count(*) FILTER (WHERE b.atr_pct<a.atr_pct AND b.bars>a.bars-252)+(count(*) FILTER (WHERE b.atr_pct=a.atr_pct AND b.bars>a.bars-252)+1)/2)/count(b.atr_pct) FILTER (WHERE b.bars>a.bars-252) END AS atr_percentile,
- CASE WHEN count(b.eff) FILTER (WHERE b.bars<a.bars)>=60 THEN 100.0*count(*) FILTER (WHERE b.bars<a.bars AND b.eff<a.eff)/count(b.eff) FILTER (WHERE b.bars<a.bars) END AS ep
+r3 AS (SELECT a.session_no, CASE WHEN count(b.atr_pct) FILTER (WHERE b.bars>a.bars-252)>={p.least_atr} THEN 100*(count(*) FILTER (WHERE b.atr_pct<a.atr_pct AND b.bars>a.bars-252)+(count(*) FILTER (WHERE b.atr_pct=a.atr_pct AND b.bars>a.bars-252)+1)/2)/count(b.atr_pct) FILTER (WHERE b.bars>a.bars-252) END AS atr_percentile,
+ CASE WHEN count(b.eff) FILTER (WHERE b.bars<a.bars)>={p.least_efficiency} THEN 100.0*count(*) FILTER (WHERE b.bars<a.bars AND b.eff<a.eff)/count(b.eff) FILTER (WHERE b.bars<a.bars) END AS ep
  FROM r2 a JOIN r2 b ON b.bars BETWEEN a.bars-252 AND a.bars GROUP BY 1),
 r4 AS (SELECT r2.*, CASE WHEN atr_pct IS NOT NULL THEN atr_percentile END AS atr_percentile, CASE WHEN eff IS NOT NULL THEN ep END AS ep, breadth FROM r2 JOIN r3 USING (session_no) LEFT JOIN br USING (session_no)),
 r5 AS (SELECT *, CASE WHEN close>sma_anchor THEN 1 WHEN close<sma_anchor THEN -1 ELSE 0 END+CASE WHEN ema_fast>ema_slow THEN 1 WHEN ema_fast<ema_slow THEN -1 ELSE 0 END+CASE WHEN breadth>=0.55 THEN 1 WHEN breadth<=0.45 THEN -1 ELSE 0 END AS votes FROM r4),
 reg AS (SELECT *, CASE WHEN votes>=2 THEN 1 WHEN votes<=-2 THEN -1 ELSE 0 END AS direction, CASE WHEN atr_percentile>=80 THEN 'volatile' WHEN eff IS NULL OR eff<0.1 THEN 'range' WHEN ep<65 THEN 'range' ELSE 'trend' END AS family,
- greatest(least((abs(votes)/3+least(abs(ema_fast-ema_slow)/greatest(abs(ema_slow), 1e-9)/0.02, 1.0)+CASE WHEN ep IS NOT NULL THEN ep/100 WHEN eff IS NOT NULL THEN least(eff/0.6, 1.0) ELSE 0 END)/3, 1.0), 0.0) AS confidence FROM r5 WHERE bars>=45)"""
+ greatest(least((abs(votes)/3+least(abs(ema_fast-ema_slow)/greatest(abs(ema_slow), 1e-9)/0.02, 1.0)+CASE WHEN ep IS NOT NULL THEN ep/100 WHEN eff IS NOT NULL THEN least(eff/0.6, 1.0) ELSE 0 END)/3, 1.0), 0.0) AS confidence FROM r5 WHERE bars>={p.need})"""
+
+
+REG = q.BENCH + BREADTH + regime_sql(P)
 
 
 def table(spark, sf):

@@ -165,5 +165,5 @@ def _(spark, sf):
     sink = sinks.RecordSink(f"{base}/table")
     for part in (s, later):
         part.write.mode("append").parquet(f"{base}/in")
-        q_ = sinks.run_batches(spark.readStream.schema(s.schema).parquet(f"{base}/in"), sink, f"{base}/checkpoint")
-    return spark.read.parquet(sink.version(q_.lastProgress["batchId"]))
+        sinks.run_batches(spark.readStream.schema(s.schema).parquet(f"{base}/in"), sink, f"{base}/checkpoint")
+    return sink.read(spark)

@@ -15,7 +15,8 @@ SF = "/root/testdata/sf0.001"
 NAMES = ["rank_top_n", "session_index", "archive_tidy", "resolve_entities", "confirm_actions", "quarantine_jumps", "atr_wilder", "compute_factors", "eligibility",
          "clenow_exit_reason", "target_holdings", "exit_mix", "leg_stats", "regime_table", "asof_strictly_before", "route_signals", "session_limit_audit",
          "open_exposure", "log_cause_groups", "findings_report", "build_features", "stream_confirmed_bars", "random_null", "percentile_of", "evaluator_hook", "fit_predict", "scan_json_store",
-         "write_panel", "write_reports", "breadth", "symbol_eras", "select_universe_by_regime", "repeat_failures"]
+         "write_panel", "write_reports", "breadth", "symbol_eras", "select_universe_by_regime", "repeat_failures", "bucketed_panel", "upsert_by_range",
+         "compared_by_digests", "route_signals_by_regime", "first_touch_by_blocks", "excursion_by_blocks", "stream_record_upsert"]
 
 
 @pytest.fixture(scope="module")

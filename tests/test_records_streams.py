@@ -114,6 +114,6 @@ def test_record_sink_replaces_a_date(spark, tmp_path):
     sink = sinks.RecordSink(str(tmp_path / "table"))
     for rows in ([(D(2026, 1, 1), 1.0, 1), (D(2026, 1, 2), 2.0, 1)], [(D(2026, 1, 2), 5.0, 2)]):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
-        q = sinks.run_batches(spark.readStream.schema(schema).parquet(src), sink, cp)
-    got = {r["trade_date"].day: r["net"] for r in spark.read.parquet(sink.version(q.lastProgress["batchId"])).collect()}
+        sinks.run_batches(spark.readStream.schema(schema).parquet(src), sink, cp)
+    got = {r["trade_date"].day: r["net"] for r in sink.read(spark).collect()}
     assert got == {1: 1.0, 2: 5.0}

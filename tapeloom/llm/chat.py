@@ -23,7 +23,6 @@ table gives an empty result. Other columns are passed over.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -94,19 +93,53 @@ class Automaton:
             m = np.concatenate([product(m[0:even:2], m[1:even:2]), m[even:]])
         return m[0]
 
-    def states(self, roles: np.ndarray, begin: int, after: np.ndarray) -> np.ndarray:
-        """States after each turn of the least-cost way from ``begin`` to an end at cost ``after``; earliest roles first."""
-        m = self.matrices(roles)
-        togo = np.empty((len(roles) + 1, 4), np.int64)
-        togo[-1] = after
-        for i in range(len(roles) - 1, -1, -1):
-            togo[i] = np.minimum((m[i] + togo[i + 1][None, :]).min(axis=1), FAR)
-        out, state = np.empty(len(roles), np.int64), begin
-        for i in range(len(roles)):
-            state = int(np.argmin(m[i, state] + togo[i + 1]))
-            out[i] = state
+    def states(self, roles: np.ndarray, starts: np.ndarray, begin: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """States after each turn of the least-cost ways of many stretches of turns, all stepped together; earliest roles first.
+
+        Stretch k starts at ``starts[k]``, comes from state ``begin[k]`` and ends at the costs ``after[k]``.
+        """
+        table = self.matrices(np.arange(10))
+        sizes = np.diff([*starts, len(roles)])
+        order = np.argsort(-sizes, kind="stable")
+        starts, state = starts[order], begin[order]
+        running = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left")  # stretches longer than j
+        togo, out = np.empty((len(roles), 4), np.int64), np.empty(len(roles), np.int64)
+        togo[starts + sizes[order] - 1] = after[order]
+        for j in range(len(running) - 1, 0, -1):
+            at = starts[:running[j]] + j
+            togo[at - 1] = np.minimum((table[roles[at]] + togo[at][:, None, :]).min(axis=2), FAR)
+        for j, n in enumerate(running):
+            at = starts[:n] + j
+            state[:n] = np.argmin(table[roles[at], state[:n]] + togo[at], axis=1)
+            out[at] = state[:n]
         return out
 
+    def turns(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By state before and after: the action, what is written before the text, and how many turns that opens."""
+        action, prefix, opened = np.empty((4, 4), object), np.empty((4, 4), object), np.zeros((4, 4), np.int64)
+        for a in range(4):
+            for b in range(3):
+                extra = int(self.between[a, b])
+                if a == b and b not in LEGAL[a]:
+                    action[a, b], prefix[a, b] = "merge", JOIN
+                else:
+                    empty = "" if extra < 0 else f"{OPEN}{ROLES[extra]}\n{CLOSE}"
+                    action[a, b] = "keep" if extra < 0 else f"insert {ROLES[extra]}"
+                    prefix[a, b] = (CLOSE if a != START else "") + empty + f"{OPEN}{ROLES[b]}\n"
+                    opened[a, b] = 1 if extra < 0 else 2
+        return action, prefix, opened
+
+
+#: What closes a conversation whose last turn is the state's.
+ENDINGS = {state: CLOSE + "".join(f"{OPEN}{ROLES[x]}\n{CLOSE}" for x in missing)
+           for state, missing in ((SYSTEM, (USER, ASSISTANT)), (USER, (ASSISTANT,)), (ASSISTANT, ()))}
+
+
+def states_before(states: np.ndarray, starts: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    before = np.concatenate([[START], states[:-1]]).astype(np.int64)[:len(states)]
+    before[starts] = begin
+    return before
+
 
 def role_numbers(roles: pd.Series) -> np.ndarray:
     """Number of each role; 9 for null and unknown ones."""
@@ -114,38 +147,20 @@ def role_numbers(roles: pd.Series) -> np.ndarray:
     return roles.fillna("").str.strip().str.lower().map(known).fillna(9).to_numpy(np.int64)
 
 
-def written(automaton: Automaton, states: np.ndarray, begin: int, texts: list[str], last: bool) -> tuple[list[str], list[str], np.ndarray]:
-    """Action and fragment of every turn of a block, and how many turns of the repaired conversation each one opens."""
-    actions, fragments, opened = [], [], np.zeros(len(states), np.int64)
-    before = begin
-    for i, (state, text) in enumerate(zip(states.tolist(), texts, strict=True)):
-        text = text.replace("<|", "< |")
-        extra = int(automaton.between[before, state])
-        if state == before and state not in LEGAL[before]:
-            actions.append("merge")
-            fragments.append(JOIN + text)
-        else:
-            actions.append("keep" if extra < 0 else f"insert {ROLES[extra]}")
-            empty = "" if extra < 0 else f"{OPEN}{ROLES[extra]}\n{CLOSE}"
-            fragments.append((CLOSE if before != START else "") + empty + f"{OPEN}{ROLES[state]}\n{text}")
-            opened[i] = 1 if extra < 0 else 2
-        before = state
-    if last and fragments:
-        missing = {SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}[before]
-        fragments[-1] += CLOSE + "".join(f"{OPEN}{ROLES[x]}\n{CLOSE}" for x in missing)
-    return actions, fragments, opened
-
-
-def _runs(names: pd.Series) -> Iterator[tuple[str, int, int]]:
-    """(conversation, from, to) of the stretches of equal names."""
+def run_starts(names: pd.Series) -> np.ndarray:
+    """Where the stretches of equal names start."""
     values = names.to_numpy()
-    cuts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    yield from zip(values[cuts], cuts.tolist(), [*cuts[1:].tolist(), len(values)], strict=True)
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
 def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
-    """conv_id, turn, role, new_role, action, relabelled, out_turn, place and fragment of every row."""
+    """conv_id, turn, role, new_role, action, relabelled, out_turn, place and fragment of every row.
+
+    Only roles go to Python, where all conversations of a block of rows are repaired together; texts of any length stay
+    in the JVM and are joined to what is written around them.
+    """
     rules = Automaton(costs)
+    actions, prefixes, opens = rules.turns()
     name = F.when(F.col("conv_id").isNull(), "null").otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string"))).alias("_conv")
     order = ["_conv", "turn", "role", "text"]
     laid = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), name)
@@ -153,10 +168,12 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
     laid = keep(laid.withColumn("_block", F.shiftright("_at", BLOCK_BITS)))
 
     def costs_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Matrices of the first and the last conversation, the only ones that other blocks can share."""
         pdf = pdf.sort_values("_at", ignore_index=True)
-        roles = role_numbers(pdf["role"])
-        return pd.DataFrame([(c, pdf["_block"][a], rules.block(roles[a:b]).reshape(-1).tolist()) for c, a, b in _runs(pdf["_conv"])],
-                            columns=["_conv", "_block", "matrix"])
+        roles, starts = role_numbers(pdf["role"]), run_starts(pdf["_conv"])
+        bounds = [*starts.tolist(), len(pdf)]
+        return pd.DataFrame([(pdf["_conv"][bounds[k]], pdf["_block"][0], rules.block(roles[bounds[k]:bounds[k + 1]]).reshape(-1).tolist())
+                             for k in sorted({0, len(starts) - 1})], columns=["_conv", "_block", "matrix"])
 
     def costs_to_go(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_block", ascending=False, ignore_index=True)
@@ -169,9 +186,10 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
     def ends_of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at", ignore_index=True)
         roles, after = role_numbers(pdf["role"]), np.array(pdf["after"][0])
-        ways = [(rules.states(roles, s, after), s) for s in range(4)]
-        opened = [int(written(rules, states, s, [""] * len(states), False)[2].sum()) for states, s in ways]
-        return pd.DataFrame([(pdf["_conv"][0], pdf["_block"][0], after.tolist(), [int(states[-1]) for states, _ in ways], opened, len(pdf))],
+        n, every = len(roles), np.arange(4)
+        states = rules.states(np.tile(roles, 4), every * n, every, np.tile(after, (4, 1)))
+        opened = opens[states_before(states, every * n, every), states].reshape(4, n).sum(axis=1)
+        return pd.DataFrame([(pdf["_conv"][0], pdf["_block"][0], after.tolist(), states.reshape(4, n)[:, -1].tolist(), opened.tolist(), n)],
                             columns=["_conv", "_block", "after", "ends", "opened", "n"])
 
     def begins_of(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -186,16 +204,24 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
 
     def repaired(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at", ignore_index=True)
-        roles, out = role_numbers(pdf["role"]), []
-        for _, a, b in _runs(pdf["_conv"]):
-            part = pdf.iloc[a:b]
-            whole = pd.isna(part["begin"].iloc[0])
-            begin, first, base, last = (START, 0, 0, True) if whole else (int(part["begin"].iloc[0]), int(part["first"].iloc[0]), int(part["base"].iloc[0]), bool(part["last"].iloc[0]))
-            states = rules.states(roles[a:b], begin, rules.end if whole else np.array(part["after"].iloc[0]))
-            actions, fragments, opened = written(rules, states, begin, part["text"].tolist(), last)
-            out.append(part[["conv_id", "turn", "role"]].assign(
-                new_role=[ROLES[s] for s in states], action=actions, relabelled=states != roles[a:b], out_turn=first + np.cumsum(opened) - 1, place=base + np.arange(b - a), fragment=fragments))
-        return pd.concat(out)
+        roles, starts = role_numbers(pdf["role"]), run_starts(pdf["_conv"])
+        sizes = np.diff([*starts, len(roles)])
+        known = pdf.iloc[starts]
+        whole = known["begin"].isna().to_numpy()
+        begin = known["begin"].fillna(START).to_numpy(np.int64)
+        after = np.array([rules.end if w else a for w, a in zip(whole, known["after"], strict=True)], np.int64)
+        states = rules.states(roles, starts, begin, after)
+        before = states_before(states, starts, begin)
+        opened = opens[before, states]
+        total = np.cumsum(opened)
+        first = known["first"].fillna(0).to_numpy(np.int64) - (total - opened)[starts]
+        base = known["base"].fillna(0).to_numpy(np.int64) - starts
+        suffix = np.full(len(roles), "", object)
+        ends = (starts + sizes - 1)[whole | known["last"].fillna(False).to_numpy(bool)]
+        suffix[ends] = [ENDINGS[s] for s in states[ends].tolist()]
+        return pd.DataFrame({"_at": pdf["_at"], "new_role": np.array(ROLES, object)[states], "action": actions[before, states], "relabelled": states != roles,
+                             "out_turn": np.repeat(first, sizes) + total - 1, "place": np.repeat(base, sizes) + np.arange(len(roles)),
+                             "_before": prefixes[before, states], "_after": suffix})
 
     blocks = keep(laid.select("_conv", "_block", "_at", "role").groupBy("_block").applyInPandas(costs_of, "_conv string, _block long, matrix array<long>"))
     cut = keep(blocks.groupBy("_conv").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_conv"))
@@ -203,9 +229,10 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
     ends = (laid.select("_conv", "_block", "_at", "role").join(togo, ["_conv", "_block"]).groupBy("_block", "_conv")
             .applyInPandas(ends_of, "_conv string, _block long, after array<long>, ends array<int>, opened array<long>, n long"))
     begins = keep(ends.groupBy("_conv").applyInPandas(begins_of, "_conv string, _block long, after array<long>, begin int, first long, base long, last boolean"))
-    kinds = {f.name: f.dataType.simpleString() for f in turns.schema.fields}
-    return (laid.join(begins, ["_conv", "_block"], "left").groupBy("_block").applyInPandas(
-        repaired, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, new_role string, action string, relabelled boolean, out_turn long, place long, fragment string"))
+    around = (laid.select("_conv", "_block", "_at", "role").join(begins, ["_conv", "_block"], "left").groupBy("_block").applyInPandas(
+        repaired, "_at long, new_role string, action string, relabelled boolean, out_turn long, place long, _before string, _after string"))
+    fragment = F.concat("_before", F.replace("text", F.lit("<|"), F.lit("< |")), "_after").alias("fragment")
+    return laid.join(around, "_at").select("conv_id", "turn", "role", "new_role", "action", "relabelled", "out_turn", "place", fragment)
 
 
 def render(repaired: DataFrame) -> DataFrame:

@@ -217,7 +217,7 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
         first = known["first"].fillna(0).to_numpy(np.int64) - (total - opened)[starts]
         base = known["base"].fillna(0).to_numpy(np.int64) - starts
         suffix = np.full(len(roles), "", object)
-        ends = (starts + sizes - 1)[whole | known["last"].fillna(False).to_numpy(bool)]
+        ends = (starts + sizes - 1)[whole | known["last"].eq(True).to_numpy()]
         suffix[ends] = [ENDINGS[s] for s in states[ends].tolist()]
         return pd.DataFrame({"_at": pdf["_at"], "new_role": np.array(ROLES, object)[states], "action": actions[before, states], "relabelled": states != roles,
                              "out_turn": np.repeat(first, sizes) + total - 1, "place": np.repeat(base, sizes) + np.arange(len(roles)),

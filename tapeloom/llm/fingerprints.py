@@ -33,6 +33,8 @@ from tapeloom.llm.suite import query
 
 #: Hash functions of a signature and coordinates of a band.
 HASHES, BAND_ROWS = 128, 4
+#: Bytes of text in a range of doc_id; ranges, their first ids and cut points are what the driver sees.
+RANGE_BYTES = 16 << 20
 
 
 def signatures(texts: list[str]) -> np.ndarray:
@@ -86,13 +88,10 @@ def laid_out(docs: DataFrame, ranges: int) -> DataFrame:
 
     firsts = {r[0]: r[1] for r in rows.select("doc_id", range_of("doc_id").alias("_range")).groupBy("_range").agg(F.min("doc_id")).collect()}
     order = sorted(firsts)
-    before = {firsts[r]: order[i - 1] for i, r in enumerate(order)}
-    home = F.create_map(*[F.lit(x) for i, r in before.items() if i is not None for x in (i, r)]) if any(i is not None for i in before) else None
-    at_first = F.col("doc_id").isin([i for i in before if i is not None])
-    guests = rows.filter(at_first | F.col("doc_id").isNull() if None in before else at_first).groupBy("doc_id").agg(F.min("text").alias("text"))
-    place = F.when(F.col("doc_id").isNull(), F.lit(before.get(None))) if home is None else F.coalesce(home[F.col("doc_id")], F.lit(before.get(None)))
+    home = docs.sparkSession.createDataFrame([(firsts[r], order[i - 1]) for i, r in enumerate(order)], "_first long, _range int")
+    guests = rows.join(F.broadcast(home), F.col("doc_id").eqNullSafe(F.col("_first"))).groupBy("doc_id", "_range").agg(F.min("text").alias("text"))
     everyone = (rows.withColumn("_range", range_of("doc_id")).withColumn("_guest", F.lit(False))
-                .unionByName(guests.withColumn("_range", place.cast("int")).withColumn("_guest", F.lit(True))))
+                .unionByName(guests.withColumn("_guest", F.lit(True))))
     return everyone.repartition(ranges, "_range").sortWithinPartitions("_range", "_guest", F.col("doc_id").asc_nulls_last(), "text")
 
 
@@ -101,8 +100,10 @@ def edited_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:
 
     The edited text has its last half replaced by as much of the next row's beginning.
     """
-    spark = docs.sparkSession
-    laid = laid_out(docs, ranges or 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if ranges is None:
+        size = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))))).first()[0] or 0
+        ranges = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))
+    laid = laid_out(docs, ranges)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[tuple[int | None, str, bool]] = []

@@ -92,7 +92,7 @@ def laid_out(docs: DataFrame, ranges: int) -> DataFrame:
     guests = rows.join(F.broadcast(home), F.col("doc_id").eqNullSafe(F.col("_first"))).groupBy("doc_id", "_range").agg(F.min("text").alias("text"))
     everyone = (rows.withColumn("_range", range_of("doc_id")).withColumn("_guest", F.lit(False))
                 .unionByName(guests.withColumn("_guest", F.lit(True))))
-    return everyone.repartition(ranges, "_range").sortWithinPartitions("_range", "_guest", F.col("doc_id").asc_nulls_last(), "text")
+    return everyone.repartitionById(len(cuts) + 2, F.col("_range")).sortWithinPartitions("_range", "_guest", F.col("doc_id").asc_nulls_last(), "text")
 
 
 def edited_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.functions.frames import fixed
+from tapeloom.functions.frames import fixed, log_or_inf
 from tapeloom.operators import actions as act
 from tapeloom.operators import hygiene as hyg
 from tapeloom.operators import identity as ident
@@ -175,8 +175,7 @@ def _(spark, sf):
     bars = settle(src.weekly_bars(spark, sf))
     checked = act.confirm_actions(_parsed(spark, sf), bars)
     out = act.back_adjust(bars, checked.filter(F.col("status") == "confirmed"))
-    return out.select("symbol", "date", fixed(F.log("adjustment"), 9).alias("log_adjustment"), fixed(F.log("close"), 9).alias("log_close"),
-                      fixed(F.log("open"), 9).alias("log_open"), "volume")
+    return out.select("symbol", "date", *[fixed(log_or_inf(F.col(c)), 9).alias(f"log_{c}") for c in ("adjustment", "close", "open")], "volume")
 
 
 JUMPS = q.PANEL + """, rets AS (SELECT p.*, p.close/l.close-1 AS ret FROM panel p LEFT JOIN panel l ON l.symbol=p.symbol AND l.session_no=p.session_no-1),

@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tapeloom.functions.frames import beside, lookback, ratio, rolling
-from tapeloom.plans import ordered
+from tapeloom.plans import ordered, sections
 from tapeloom.session import settle
 
 
@@ -54,10 +58,26 @@ def raw_features(panel: DataFrame, p: FeatureParams = FeatureParams(), leak: boo
 def rank_normalise(rows: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Average rank ÷ n − 0.5 of every column inside its date.
 
-    The columns are ranked in one long form, so the number of features does not multiply the shuffles.
+    A date is ranked as arrays in one task, all columns at once; dates too wide for that are laid out by ranges.
     """
-    rows = settle(rows)
-    e = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("x")) for n in names])
+    rows, names = settle(rows), list(names)
+    ids = ["date", "symbol"]
+    schema = T.StructType([*(rows.schema[c] for c in ids), *(T.StructField(n, T.DoubleType()) for n in names), *(rows.schema[c] for c in keep)])
+
+    def work(table: pa.Table) -> pa.Table:
+        made = []
+        for n in names:
+            (x, known), share = sections.values(table, n), np.zeros(table.num_rows)
+            share[known] = sections.average_ranks(x[known]) / max(known.sum(), 1) - 0.5
+            made.append(sections.doubles(share, known))
+        return pa.Table.from_arrays([*(table.column(c) for c in ids), *made, *(table.column(c) for c in keep)], names=schema.names)
+
+    return sections.sections(rows.select(*ids, *names, *keep), ["date"], work, schema, lambda wide: _ranks_by_ranges(wide, names, keep))
+
+
+def _ranks_by_ranges(rows: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """The same in one long form, for dates of any width: the number of features does not multiply the shuffles."""
+    e = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("x")) for n in names])
     long = rows.select("date", "symbol", F.explode(e).alias("e")).select("date", "symbol", "e.name", "e.x")
     ranked = ordered.average_ranks(long, ["date", "name"], "x", "_r", "_n").withColumn("_v", F.col("_r") / F.col("_n") - 0.5)
     wide = ranked.groupBy("date", "symbol").agg(*[F.max(F.when(F.col("name") == n, F.col("_v"))).alias(n) for n in names])
@@ -144,11 +164,44 @@ def assign_folds(features: DataFrame, folds: DataFrame, pred: Column) -> DataFra
 
 
 def rank_ic_deciles(predictions: DataFrame, min_names: int = 20) -> DataFrame:
-    """Per fold and date: rank correlation of prediction and outcome, mean outcome of the top and bottom tenth."""
-    predictions = settle(predictions, "fold", "date", "symbol", "pred", "y")
+    """Per fold and date: rank correlation of prediction and outcome, mean outcome of the top and bottom tenth.
+
+    A date is ranked as arrays in one task; dates too wide for that are laid out by ranges.
+    """
+    rows = settle(predictions, "fold", "date", "symbol", "pred", "y").select("fold", "date", "symbol", F.col("pred").cast("double").alias("pred"), F.col("y").cast("double").alias("y"))
     by = ["fold", "date"]
-    wide = predictions.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_names)
-    rows = predictions.join(F.broadcast(wide), by)
+    schema = T.StructType([*(rows.schema[c] for c in by), *(T.StructField(c, T.DoubleType()) for c in ("ic", "bottom", "top"))])
+
+    def work(table: pa.Table) -> pa.Table:
+        figures = _date_figures(table) if table.num_rows >= min_names else None
+        one = table.select(by).slice(0, 1 if figures else 0)
+        return pa.Table.from_arrays([*one.columns, *(pa.array([v] if figures else [], pa.float64()) for v in figures or (None,) * 3)], names=schema.names)
+
+    return sections.sections(rows, by, work, schema, lambda wide: _deciles_by_ranges(wide, by, min_names))
+
+
+def _date_figures(table: pa.Table) -> tuple[float | None, float | None, float | None]:
+    """Rank correlation, mean outcome of the lowest and of the highest tenth of one date, ties of the prediction by symbol."""
+    (pred, told), (y, seen) = sections.values(table, "pred"), sections.values(table, "y")
+    a, b = np.full(len(y), np.nan), np.full(len(y), np.nan)
+    a[told], b[seen] = sections.average_ranks(pred[told]), sections.average_ranks(y[seen])
+    both = told & seen
+    a, b = a[both] - a[both].mean(), b[both] - b[both].mean()
+    size = np.sqrt((a @ a) * (b @ b))
+    symbol = np.asarray(pc.rank(table.column("symbol").combine_chunks(), sort_keys="ascending", null_placement="at_start", tiebreaker="first"))
+    order, k = np.lexsort((symbol, pred, told)), max(1, len(y) // 10)
+
+    def mean(places: np.ndarray) -> float | None:
+        kept = y[places][seen[places]]
+        return float(kept.mean()) if len(kept) else None
+
+    return float((a @ b) / size) if size > 0 else None, mean(order[:k]), mean(order[-k:])
+
+
+def _deciles_by_ranges(rows: DataFrame, by: Sequence[str], min_names: int) -> DataFrame:
+    """The same for dates of any width."""
+    wide = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_names)
+    rows = rows.join(F.broadcast(wide), by)
     k = F.greatest(F.lit(1), F.floor(F.col("n") / 10))
     ra = ordered.average_ranks(rows.select(*by, "symbol", "pred", "y"), by, "pred", "_rp")
     rb = ordered.average_ranks(ra, by, "y", "_ry")

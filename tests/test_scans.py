@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tapeloom.functions.indicators import FactorParams, compute_factors
 from tapeloom.plans import scans
 from tapeloom.plans.ordered import PART, last_known, lay_out
 
@@ -85,3 +86,24 @@ def test_empty_and_single_rows(spark):
     specs = {"m": ("x", 0.5, 1)}
     assert {r["symbol"]: r["m"] for r in scans.exponential_means(df, ["symbol"], "at", specs).collect()} == {"a": 2.0, "b": None}
     assert scans.exponential_means(df.limit(0), ["symbol"], "at", specs).count() == 0 and last_known(df.limit(0), ["symbol"], ["at"], {"k": "x"}).count() == 0
+
+
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_exponential_means_of_bars_equal_pandas_without_a_layout(spark, batch, monkeypatch):
+    pdf = series()
+    df = spark.createDataFrame(pdf.drop(columns="a.b")).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("x", "y")})
+    monkeypatch.setattr(scans, "lay_out", None)
+    with many_ranges(spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": batch}):
+        got = scans.exponential_means_of_bars(df.repartition("symbol"), ["symbol"], "at", SPECS).toPandas().sort_values(["symbol", "at"], ignore_index=True)
+    want = plain(pdf)
+    for c in SPECS:
+        assert np.allclose(got[c].astype(float), want[c], rtol=0, atol=1e-9, equal_nan=True), c
+
+
+def test_factors_need_no_range_layout(spark, monkeypatch):
+    """Windows by symbol are taken anyway, so the recursion streams through their partitions."""
+    monkeypatch.setattr(scans, "lay_out", None)
+    bars = spark.range(400).selectExpr("id % 2 AS symbol", "CAST(id DIV 2 AS INT) AS session_no", "date_add(DATE'2026-01-01', CAST(id DIV 2 AS INT)) AS date", "100.0D + id % 7 AS close",
+                                       "100.0D AS open", "110.0D AS high", "90.0D AS low", "5.0D AS volume", "500.0D AS turnover")
+    got = compute_factors(bars, FactorParams(short=2, medium=4, long=6, year=8, skip=2, slope=5, efficiency=5, fast=3, slow=6)).toPandas()
+    assert len(got) == 2 * (200 - 14) and np.allclose(got["atr_pct"] * got["close"], 20.0)

@@ -120,7 +120,7 @@ def walk_forward_folds(features: DataFrame, p: FoldParams = FoldParams()) -> Dat
 
     Works on per-date row counts: one small row per date, whatever the width of the cross-section.
     """
-    per = features.groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+    per = settle(features.groupBy("date").agg(F.count(F.lit(1)).alias("rows")))
     idx = per.withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
     n = per.count()
     spec = fold_ranges(n, p)

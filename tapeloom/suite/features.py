@@ -132,11 +132,13 @@ coalesce(planted_ic>0.02, false) AND coalesce(abs(noise_ic)<0.02, false) AS read
 FROM (SELECT {_mean_ic(True, '-mom_4')} AS planted_ic, {_mean_ic(False, "CAST('0x' || substr(md5(concat_ws('|', CAST(date AS VARCHAR), symbol)), 1, 8) AS BIGINT)")} AS noise_ic, {_mean_ic(False, '-rev')} AS real_ic)""")
 def _(spark, sf):
     """Controls from the panel itself: a leaked label must be found, a hashed prediction must not."""
-    real, leaked = settle(feats(spark, sf)), settle(feats(spark, sf, True))
+    with src.shared_panel(spark, sf):
+        real, leaked = settle(feats(spark, sf)), settle(feats(spark, sf, True))
 
-    def report(x, pred):
-        p = settle(ft.assign_folds(x, ft.walk_forward_folds(x, FOLDS), pred))
-        return ft.fold_report(ft.fold_scores(ft.rank_ic_deciles(p, LEAST)))
+    def reports(x, *preds):
+        folds = settle(ft.walk_forward_folds(x, FOLDS))
+        return [ft.fold_report(ft.fold_scores(ft.rank_ic_deciles(ft.assign_folds(x, folds, p), LEAST))) for p in preds]
     noise = draw_number(F.col("date"), F.col("symbol")).cast("double")
-    v = ft.control_verdict(report(leaked, -F.col("mom_4")), report(real, noise), report(real, -F.col("rev")))
+    (planted,), (hashed, reversal) = reports(leaked, -F.col("mom_4")), reports(real, noise, -F.col("rev"))
+    v = ft.control_verdict(planted, hashed, reversal)
     return v.select(*[fixed(F.col(c), 7).alias(c) for c in ("planted_ic", "noise_ic", "real_ic")], "found", "quiet", "readable")

@@ -96,3 +96,9 @@ def test_streamed_statistics_equal_those_of_pieces(spark, monkeypatch, batch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     assert got.equals(want) and got[list(specs)].notna().sum().min() > 500
     assert "_piece" not in ind.compute_factors(src.panel(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["compute_factors", "clenow_investable", "liquidity_factors", "eligibility", "efficiency_percentile", "atr_wilder", "ema"])
+def test_queries_by_series_read_the_stored_panel_without_a_shuffle(spark, name):
+    with src.sliced_panel(spark, SMALL, 1, 4):
+        assert "Exchange" not in queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
